@@ -122,7 +122,9 @@ def readable(payload: Column, wraps: int = 3) -> Column:
     blanks before it and up to ``wraps`` layers of JSON strings around it are
     taken off. Null where the payload isn't one whole JSON object."""
     bare = lambda s: F.regexp_replace(s, "^[﻿\\s]+|\\s+$", "")
-    whole = lambda s: F.when(s.rlike(r'^[{"]'), F.try_parse_json(s))
+    # within brackets anything after the first value makes the text unreadable or a list of two
+    alone = lambda a: F.when(F.try_variant_get(a, "$[1]", "variant").isNull(), F.try_variant_get(a, "$[0]", "variant"))
+    whole = lambda s: F.when(s.rlike(r'^[{"]'), _let(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))), alone))
     v = whole(bare(payload))
     for _ in range(wraps):
         v = _let(v, lambda x: F.when(F.schema_of_variant(x) == "STRING", whole(bare(F.try_variant_get(x, "$", "string")))).otherwise(x))
@@ -196,14 +198,10 @@ def flat_positions(analyses: DataFrame, reports: DataFrame) -> DataFrame:
         [
             rows("usage", walk(usages, "usage")),
             rows("call_step", walk(usages, "usage", "call_step")),
-            rows("trace_step", _third(walk(usages, "usage", "trace", "step"))),
+            rows("trace_step", walk(usages, "usage", "trace", "step")),
             rows("sarif_rule", walk(documents, "run", "rule")),
             rows("sarif_result", walk(documents, "run", "result"), F.col("ref")),
             rows("sarif_location", walk(documents, "run", "result", "location")),
             rows("cbom_function", walk(documents, "component", "function")),
         ]
     )
-
-
-def _third(found: DataFrame) -> DataFrame:
-    return found

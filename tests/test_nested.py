@@ -60,7 +60,7 @@ REPORTS = "report_id bigint, report_format string, payload string"
 def test_unreadable_and_wrapped_payloads(spark):
     doc = json.dumps({"runs": {"tool": {"driver": {"rules": [None, {"id": "A"}]}}, "results": [{"ruleId": "A", "locations": {"x": 1}}, None, {"ruleId": "B"}], "properties": {"results": [1]}}})
     rows = [(1, None, doc), (2, "x", "﻿\n" + json.dumps(doc)), (3, "x", doc[:-1]), (4, "x", "null"), (5, "x", ""), (6, "x", None), (7, "x", doc + "}"), (8, "x", "[]"), (9, "x", doc + " {}")]
-    a = spark.createDataFrame([], "analysis_id bigint, crypto array<struct<call_path array<string>, traces array<struct<call_steps array<string>>>>>".replace("call_path array", "call_path: array").replace("traces array", "traces: array").replace("call_steps array", "call_steps: array"))
+    a = spark.createDataFrame([], "analysis_id bigint, crypto array<struct<call_path: array<string>, traces: array<struct<call_steps: array<string>>>>>")
     got = sorted(map(tuple, nested.flat_positions(a, spark.createDataFrame(rows, REPORTS)).collect()))
     want = [(k, n, *p) for n in (1, 2) for k, p in (("sarif_rule", (0, 1, -1)), ("sarif_result", (0, 0, 1)), ("sarif_result", (0, 2, -1)), ("sarif_location", (0, 0, 0)))]
     assert got == sorted(want)
