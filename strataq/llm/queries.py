@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataq.llm import duplicates, packing, survivor, tokenize
+from strataq.llm import duplicates, packing, sentences, survivor, tokenize
 from strataq.materialize import Scratch
 
 
@@ -38,7 +38,16 @@ def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(counts, "doc_id", "n_tokens", capacities)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_fused, p7_ids, p8_pack)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.split_sentences(sentences.prose(_t(spark, sf, "documents")), "doc_id", "text")
+
+
+def p9_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences with their texts restored."""
+    return sentences.split_sentences(sentences.prose(_t(spark, sf, "documents")), "doc_id", "text", with_text=True)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_fused, p7_ids, p8_pack, p9_found, p9_sentences)}
 
 _P2 = """
 WITH a AS (SELECT 'package_info' AS kind, info_id AS id, NULL::BIGINT AS scan_id,
