@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataq.llm import duplicates, packing, sentences, survivor, tokenize
+from strataq.llm import canonical, duplicates, packing, sentences, survivor, tokenize
 from strataq.materialize import Scratch
 
 
@@ -12,6 +12,19 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.mapped_fields(*(_t(spark, sf, n) for n in ("package_info", "crypto_usage", "license_ref", "algorithm_ref")))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped(spark, sf).select("field", "record_id", "ref_id")
+
+
+def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The values that mean no entry, with the number of their rows."""
+    return _mapped(spark, sf).where("ref_id = 'none'").groupBy("field", "raw").count().withColumnRenamed("count", "n_rows")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.formatting_copies(_t(spark, sf, "package_info"), _t(spark, sf, "dependency"))
 
@@ -47,7 +60,7 @@ def p9_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(sentences.prose(_t(spark, sf, "documents")), "doc_id", "text", with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_fused, p7_ids, p8_pack, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p3_found, p3_fused, p7_ids, p8_pack, p9_found, p9_sentences)}
 
 _P2 = """
 WITH a AS (SELECT 'package_info' AS kind, info_id AS id, NULL::BIGINT AS scan_id,
