@@ -121,7 +121,7 @@ def readable(payload: Column, wraps: int = 3) -> Column:
     """The JSON object that a payload holds, as a variant; a byte order mark or
     blanks before it and up to ``wraps`` layers of JSON strings around it are
     taken off. Null where the payload isn't one whole JSON object."""
-    bare = lambda s: F.regexp_replace(s, "^[﻿\\s]+|\\s+$", "")
+    bare = lambda s: F.regexp_replace(s, "^[﻿\\s]+|(?<!\\s)\\s+$", "")
     # within brackets anything after the first value makes the text unreadable or a list of two
     alone = lambda a: F.when(F.try_variant_get(a, "$[1]", "variant").isNull(), F.try_variant_get(a, "$[0]", "variant"))
     whole = lambda s: F.when(s.rlike(r'^[{"]'), _let(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))), alone))

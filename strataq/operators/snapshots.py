@@ -27,7 +27,7 @@ def moment(text: Column) -> Column:
 
 def blank_to_empty(text: Column) -> Column:
     """Outer whitespace removed; null becomes the empty text."""
-    return F.coalesce(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(text, r"^\s+|(?<!\s)\s+$", ""), F.lit(""))
 
 
 def canonical_hash(texts: Sequence[str] = (), sets: Sequence[str] = (), numbers: Sequence[str] = ()) -> Column:
