@@ -153,7 +153,7 @@ def workspace_globs(files: DataFrame) -> DataFrame:
     a = npm.select("path", F.lit(1).alias("layer"), F.posexplode(globs).alias("seq", "pattern"))
     pnpm = lines(files.where(base_name(F.col("path")) == "pnpm-workspace.yaml")).where(F.col("line").rlike(r"^\s*-\s"))
     b = pnpm.select("path", F.lit(2).alias("layer"), F.col("ln").alias("seq"), F.regexp_extract("line", r"^\s*-\s+[\"']?([^\"'#]+?)[\"']?\s*$", 1).alias("pattern")).where("pattern <> '' and pattern not like '!%'")
-    work = lines(files.where(base_name(F.col("path")) == "go.work")).withColumn("line", F.regexp_replace("line", r"//.*$|^\s+|(?<!\s)\s+$", ""))
+    work = lines(files.where(base_name(F.col("path")) == "go.work")).withColumn("line", F.regexp_replace("line", r"\s*//.*$|^\s+|(?<!\s)\s+$", ""))
     w = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     mark = F.when(F.col("line").rlike(r"^use\s*\("), 1).when(F.col("line").startswith(")"), 0)
     work = work.withColumn("_mark", mark).withColumn("_in", F.coalesce(F.last("_mark", ignorenulls=True).over(w), F.lit(0)))
