@@ -145,7 +145,7 @@ def map_values(values: DataFrame, entries: DataFrame, kind: str) -> DataFrame:
     # a name written in one piece or split elsewhere is recognised by its letters and numbers alone
     glued = names.select(F.concat_ws("", F.filter(tokens(F.col("ref_id"), kind), lambda t: ~t.isin(noise))).alias("glue"), tokens(F.col("ref_id"), kind).alias("of"), "ref_id").groupBy("glue").agg(F.first("of").alias("of"), F.count_distinct("ref_id").alias("_c")).where("_c = 1").drop("_c")
     cut = distinct.select("raw", "n", tokens(F.col("raw"), kind).alias("t"))
-    cut = cut.withColumn("glue", F.concat_ws("", F.filter("t", lambda t: ~t.isin(noise)))).join(glued, "glue", "left").select("raw", "n", F.coalesce("of", "t").alias("t"))
+    cut = cut.withColumn("glue", F.concat_ws("", F.filter("t", lambda t: ~t.isin(noise)))).join(glued, "glue", "left").select("raw", "n", F.array_distinct(F.coalesce("of", "t")).alias("t"))
     cut = cut.join(known)  # one row of reference words
     cut = scratch.put(cut.select("raw", "n", "t", F.array_except("t", F.concat("known", F.array(*map(F.lit, noise)))).alias("unknown")))
     loose = cut.select("raw", F.explode("unknown").alias("token")).where(r"token rlike '^\\p{L}'")
