@@ -136,3 +136,36 @@ def dedupe_usages(usages: DataFrame, order: str) -> DataFrame:
 def available_by_dependency(found: DataFrame, *keys: str) -> DataFrame:
     """Sorted distinct algorithms that are available but not reached, per dependency."""
     return found.where("upper(reachability) = 'AVAILABLE' and algorithm is not null").groupBy(*keys).agg(F.concat_ws(", ", F.array_sort(F.collect_set("algorithm"))).alias("algorithms"))
+
+
+def enrich(findings: DataFrame, remediation: DataFrame, alg_col: str = "algorithm") -> DataFrame:
+    """Adds summary, timeline, effort and the libraries of the finding's ecosystem
+    from remediation: (key, summary, timeline, effort, libraries map<string,
+    array<string>>). Keys are found on the distinct algorithms, then joined back."""
+    keys = findings.select(alg_col).distinct().withColumn("_key", text.remediation_key(F.col(alg_col)))
+    rem = remediation.select(F.col("key").alias("_key"), "summary", "timeline", "effort", "libraries")
+    joined = findings.join(keys.join(rem, "_key", "left"), alg_col, "left").drop("_key")
+    return joined.withColumn("libraries", F.try_element_at("libraries", "ecosystem")) if "ecosystem" in findings.columns else joined
+
+
+# fixed values: severities from low to high
+SEVERITIES = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
+
+
+def keep(findings: DataFrame, risk: str | None = None, min_severity: str | None = None, reached: str | None = None) -> DataFrame:
+    """Findings of one risk, of a severity or above, of one reachability; each
+    filter is off unless given."""
+    out = findings
+    if risk:
+        out = out.where(F.col("quantum_risk") == risk)
+    if min_severity:
+        out = out.where(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")) > SEVERITIES.index(min_severity))
+    return out.where(F.col("reachability") == reached) if reached else out
+
+
+def remediation_list(findings: DataFrame, *keys: str) -> DataFrame:
+    """Distinct algorithms to act on, each at its first place: confirmed vulnerable
+    or partial ones (pass 1), then available vulnerable ones (pass 2)."""
+    first = F.when((F.upper("reachability") == "CONFIRMED") & F.col("quantum_risk").isin("VULNERABLE", "PARTIAL"), 1).when((F.upper("reachability") == "AVAILABLE") & (F.col("quantum_risk") == "VULNERABLE"), 2)
+    rows = findings.withColumn("pass", first).where("pass is not null and algorithm is not null")
+    return rows.groupBy(*keys, "algorithm").agg(F.min("pass").alias("pass"))

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataq.materialize import Scratch
+
 _NULL = "~"
 
 
@@ -70,15 +72,19 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 def flatten(df: DataFrame, record_id: str, edges: Sequence[Edge]) -> Forest:
     """Nodes, bridges and roots of the array columns that ``edges`` describe.
-    A record id that repeats gives the roots of each of its rows."""
+    A record id that repeats gives the roots of each of its rows. Occurrences of
+    the outermost objects with their identities, and the distinct ones among them,
+    are written once, as all walks start from them."""
+    scratch = Scratch(df.sparkSession, "nested")
     roots, bridges, nodes = [], [], []
 
     def element(e: Edge, parent: T.StructType) -> T.DataType:
         return parent[e.field].dataType.elementType
 
-    def descend(objects: DataFrame, e: Edge, dtype: T.DataType) -> None:
+    def descend(objects: DataFrame, e: Edge, dtype: T.DataType, top: bool = False) -> None:
         """objects: (node_id, value) of the occurrences of one kind."""
         unique = objects.groupBy("node_id").agg(F.first("value").alias("value"))
+        unique = scratch.put(unique) if top and e.below else unique
         content = F.to_json("value") if isinstance(dtype, T.StructType) else F.col("value").cast("string")
         nodes.append(unique.select("node_id", F.lit(e.kind).alias("kind"), content.alias("content")))
         for b in e.below:
@@ -93,8 +99,9 @@ def flatten(df: DataFrame, record_id: str, edges: Sequence[Edge]) -> Forest:
         dtype = element(e, df.schema)
         found = df.select(F.col(record_id).cast("bigint").alias("record_id"), F.posexplode(e.field).alias("ordinal", "value")).where("value is not null")
         found = found.select("record_id", F.lit(e.kind).alias("edge"), F.col("ordinal").cast("bigint").alias("ordinal"), identity(F.col("value"), dtype).alias("node_id"), "value")
+        found = scratch.put(found)
         roots.append(found.drop("value"))
-        descend(found.select("node_id", "value"), e, dtype)
+        descend(found.select("node_id", "value"), e, dtype, top=True)
     empty = df.sparkSession.createDataFrame([], "parent_id string, edge string, ordinal bigint, child_id string, ref bigint")
     return Forest(_union(nodes), _union(bridges) if bridges else empty, _union(roots))
 
@@ -179,7 +186,9 @@ def usage_forest(analyses: DataFrame) -> Forest:
 
 
 def report_forest(reports: DataFrame) -> Forest:
-    return flatten(report_shapes(reports), "report_id", SARIF_EDGES + CBOM_EDGES)
+    """Each payload is parsed once; both formats' edges read the written shapes."""
+    shapes = Scratch(reports.sparkSession, "shapes").put(report_shapes(reports))
+    return flatten(shapes, "report_id", SARIF_EDGES + CBOM_EDGES)
 
 
 def flat_positions(analyses: DataFrame, reports: DataFrame) -> DataFrame:
