@@ -113,8 +113,8 @@ def repair(oov: DataFrame, names: DataFrame, kind: str) -> DataFrame:
 def rank(signatures: DataFrame, names: DataFrame, noise: list[str]) -> DataFrame:
     """(words, ref_id, score) of the signatures that mean an entry."""
     common = F.array(*map(F.lit, noise))
-    total = names.select(F.count("*").alias("_total"))
-    idf = names.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("_df")).join(total).select("word", F.log(1 + F.col("_total") / F.col("_df")).alias("idf"))
+    total = names.count()
+    idf = names.select(F.explode("words").alias("word")).groupBy("word").agg(F.log(1 + F.lit(total) / F.count("*")).alias("idf"))
     index = names.select("surface", "ref_id", F.col("words").alias("_name"), F.explode("words").alias("word")).join(idf, "word")
     norms = index.groupBy("surface").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("_norm"))
     index = index.join(norms, "surface")
@@ -141,20 +141,20 @@ def map_values(values: DataFrame, entries: DataFrame, kind: str) -> DataFrame:
     exact = entries.select(F.col("ref_id").alias("raw")).distinct()
     asked = values.where(F.col("raw").rlike(r"[^\s\p{Z}]")).join(exact, "raw", "left_anti")
     distinct = asked.groupBy("raw").agg(F.count("*").alias("n"))
-    known = names.select(F.explode("words").alias("word")).distinct().agg(F.collect_set("word").alias("known"))
+    listed = [r.words for r in names.select("words").collect()]  # the reference list, of known size
+    known = sorted({w for words in listed for w in words} | set(noise))
+    longest = max(map(len, listed), default=0)
     # a name written in one piece or split elsewhere is recognised by its letters and numbers alone
     glued = names.select(F.concat_ws("", F.filter(tokens(F.col("ref_id"), kind), lambda t: ~t.isin(noise))).alias("glue"), tokens(F.col("ref_id"), kind).alias("of"), "ref_id").groupBy("glue").agg(F.first("of").alias("of"), F.count_distinct("ref_id").alias("_c")).where("_c = 1").drop("_c")
     cut = distinct.select("raw", "n", tokens(F.col("raw"), kind).alias("t"))
     cut = cut.withColumn("glue", F.concat_ws("", F.filter("t", lambda t: ~t.isin(noise)))).join(glued, "glue", "left").select("raw", "n", F.array_distinct(F.coalesce("of", "t")).alias("t"))
-    cut = cut.join(known)  # one row of reference words
-    cut = scratch.put(cut.select("raw", "n", "t", F.array_except("t", F.concat("known", F.array(*map(F.lit, noise)))).alias("unknown")))
+    cut = scratch.put(cut.select("raw", "n", "t", F.array_except("t", F.array(*map(F.lit, known))).alias("unknown")))
     loose = cut.select("raw", F.explode("unknown").alias("token")).where(r"token rlike '^\\p{L}'")
     fixes = scratch.put(repair(loose.select("token").distinct(), names, kind))
     fixed = loose.join(fixes, "token").groupBy("raw").agg(F.map_from_entries(F.collect_set(F.struct("token", "words"))).alias("fix"))
     # a value with more words than the longest name means none, so its readings need not be spelled out
-    longest = names.agg(F.max(F.size("words")).alias("longest"))
     told = F.array_except("t", F.array(*map(F.lit, noise)))
-    some = cut.join(longest).where(F.size(told) <= F.col("longest")).join(fixed, "raw", "left")
+    some = cut.where(F.size(told) <= longest).join(fixed, "raw", "left")
     options = F.transform("t", lambda t: F.coalesce(F.try_element_at("fix", t), F.array(t)))
     # one reading of the value for each choice among equally near words
     readings = F.aggregate(options, F.array(F.array().cast("array<string>")), lambda acc, o: F.flatten(F.transform(acc, lambda a: F.transform(o, lambda w: F.concat(a, F.array(w))))))
