@@ -62,11 +62,18 @@ def remediation_keys(spark: SparkSession, sf: str) -> DataFrame:
     return names.select("algorithm", text.remediation_key(F.col("algorithm")).alias("remediation"))
 
 
+#: tables with names of packages and their ecosystems
+_NAMED = {"dependency": "name", "package_info": "name", "package_analysis": "package", "crypto_usage": "package", "kb_snapshot": "package", "documents": "package"}
+
+
 def import_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """The first import pattern of each package name; names without one are left out."""
-    d = _t(spark, sf, "algorithm_ref").select(F.explode(F.array(*[F.concat(F.lit(p), F.lit(s)) for e in dims.IMPORT_PATTERNS for p, _ in dims.import_patterns(e) for s in ("", "/x", "x")])).alias("path")).distinct()
-    each = d.select("path", F.explode(F.array(*map(F.lit, dims.IMPORT_PATTERNS))).alias("ecosystem"))
-    return each.withColumn("pattern", text.import_match(F.col("path"), F.col("ecosystem"))).where("pattern is not null")
+    """The first import pattern of each package name of any table; names without
+    one are left out. Patterns distinguish capitals, so names keep theirs."""
+    out = None
+    for table, col in _NAMED.items():
+        one = _t(spark, sf, table).select(F.trim(col).alias("path"), _eco("ecosystem").alias("ecosystem")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out.distinct().withColumn("pattern", text.import_match(F.col("path"), F.col("ecosystem"))).where("pattern is not null")
 
 
 def clean_versions(spark: SparkSession, sf: str) -> DataFrame:
