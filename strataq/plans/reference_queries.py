@@ -89,15 +89,33 @@ def requirement_lines(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("dep_id", name.alias("req_name"), version.alias("req_version")).where("req_name is not null")
 
 
+def _go_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Go dependencies with the reason why a go.mod line can't hold them, null
+    where it can. Outer blanks don't count; a version gets its v if it has none."""
+    bare = lambda c: F.regexp_replace(c, r"^\s+|(?<!\s)\s+$", "")
+    d = _t(spark, sf, "dependency").where(_eco("ecosystem") == "go").withColumn("name", bare("name")).withColumn("version", bare("version"))
+    why = F.when(F.coalesce("name", F.lit("")) == "", "no name").when(F.coalesce("version", F.lit("")) == "", "no version")
+    why = why.when(F.col("name").rlike(r"\s"), "blank in name").when(F.col("version").rlike(r"\s"), "blank in version")
+    # comments, ends of blocks and words of the format; what follows => is a replacement
+    why = why.when(F.col("name").rlike(r"^(//|\)|require\(|(require|module|go|toolchain)$)") | F.col("version").contains("=>"), "other meaning in go.mod")
+    return d.withColumn("reason", why)
+
+
 def go_mod_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    """go.mod texts made of each scan's Go dependencies and read again."""
-    d = _t(spark, sf, "dependency").where(r"ecosystem = 'go' and name rlike '^[a-z0-9./-]+$' and version rlike '^[0-9.]+$'")
-    line = F.concat(F.lit("\t"), "name", F.lit(" v"), "version", F.when(~F.coalesce("direct", F.lit(False)), " // indirect").otherwise(""))
+    """go.mod texts made of each scan's Go dependencies and read again; what no
+    line can hold is in go_mod_left_out."""
+    d = _go_lines(spark, sf).where("reason is null")
+    line = F.concat(F.lit("\t"), "name", F.lit(" "), F.regexp_replace("version", "^[vV]?", "v"), F.when(~F.coalesce("direct", F.lit(False)), " // indirect").otherwise(""))
     body = d.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("dep_id", line.alias("l")))).alias("a"))
     files = body.select(F.concat(F.col("scan_id"), F.lit("/go.mod")).alias("path"), F.concat(F.lit("module x\n\ngo 1.21\n\nrequire (\n"), F.concat_ws("\n", F.transform("a", lambda x: x["l"])), F.lit("\n)\n")).alias("text"))
     return manifests.go_mod(files).select("path", (F.col("dep_seq") - 5).alias("seq"), "name", "version", "direct")
 
 
+def go_mod_left_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Go dependencies that no go.mod line can hold, and why."""
+    return _go_lines(spark, sf).where("reason is not null").select("scan_id", "dep_id", "name", "version", "reason")
+
+
 def discovered_manifests(spark: SparkSession, sf: str) -> DataFrame:
     d = _t(spark, sf, "dependency").select("project", F.col("manifest").alias("path"))
     return manifests.discover(d, "path", "project")
@@ -208,7 +226,7 @@ def source_scopes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_summary, portfolio_summary, scan_findings, classified_usages, remediation_keys, import_matches, clean_versions, requirement_lines, go_mod_dependencies, discovered_manifests, preferred_manifests, crypto_packages, package_risk,
+        scan_summary, portfolio_summary, scan_findings, classified_usages, remediation_keys, import_matches, clean_versions, requirement_lines, go_mod_dependencies, go_mod_left_out, discovered_manifests, preferred_manifests, crypto_packages, package_risk,
         ranked_findings, kb_stats, kb_export, kb_merge, inferred_algorithms, deduped_usages, available_algorithms, sarif_rules, cbom_components, report_documents, call_reachability, source_uses, source_depth, source_scopes,
     )
 }
