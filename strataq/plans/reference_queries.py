@@ -83,7 +83,7 @@ def clean_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requirement_lines(spark: SparkSession, sf: str) -> DataFrame:
-    d = _t(spark, sf, "dependency").where("ecosystem = 'pypi'")
+    d = _t(spark, sf, "dependency").where(_eco("ecosystem") == "pypi")
     line = F.concat("name", F.lit("[extra]=="), F.coalesce("version", F.lit("")), F.lit(" ; python_version > '3' # pinned"))
     name, version = text.requirement_line(line)
     return d.select("dep_id", name.alias("req_name"), version.alias("req_version")).where("req_name is not null")

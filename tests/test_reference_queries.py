@@ -77,3 +77,10 @@ def test_go_mod_dependencies_reads_all(spark, tmp_path):
     ]
     left = {r.dep_id: r.reason for r in reference_queries.go_mod_left_out(spark, str(tmp_path)).collect()}
     assert left == {6: "blank in name", 7: "no version", 8: "no version", 9: "no name", 10: "blank in version", **dict.fromkeys((11, 12, 13), "other meaning in go.mod")}
+
+
+def test_requirement_lines_any_spelling(spark, tmp_path):
+    rows = [(i, 1, f"n{i}", "1.0", eco, True) for i, eco in enumerate(("pypi", "PYPI", " pypi", "Pypi ", "npm", "pypi.", None))]
+    put(spark, str(tmp_path), "dependency", rows, DEPENDENCY)
+    got = sorted(tuple(r) for r in reference_queries.requirement_lines(spark, str(tmp_path)).collect())
+    assert got == [(i, f"n{i}", "1.0") for i in range(4)]
