@@ -28,6 +28,8 @@ from strataq.materialize import Scratch
 NONE = "none"
 #: at most so many values can each hold more than one in so many rows; that bounds what is broadcast
 HOT_SHARE = 1000
+#: letters of a word that may hold two edits
+LONG = 8
 
 # fixed values: words around a name that say nothing about which entry is meant
 NOISE = {
@@ -74,6 +76,11 @@ def _deletions(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), one))
 
 
+def _two_deletions(token: Column) -> Column:
+    """The token and all forms with one or two letters less."""
+    return F.array_distinct(F.flatten(F.transform(_deletions(token), _deletions)))
+
+
 def surfaces(entries: DataFrame, kind: str) -> DataFrame:
     """entries: (ref_id, title, version or null). Out: (surface, ref_id, words),
     words being the token set of one way to name the entry."""
@@ -89,19 +96,23 @@ def surfaces(entries: DataFrame, kind: str) -> DataFrame:
 
 def repair(oov: DataFrame, names: DataFrame, kind: str) -> DataFrame:
     """(token, words): the vocabulary words that each distinct token may mean, those
-    at the least distance: one edit (two in long words) or an abbreviation."""
+    at the least distance that keep the first letter: one edit (two in words of
+    LONG letters or more) or an abbreviation."""
     ids = names.select(F.explode(tokens(F.col("ref_id"), kind)).alias("word")).distinct().where("char_length(word) <= 5")
     words = names.select(F.explode("words").alias("word")).distinct().where(r"word rlike '^\\p{L}{3,}$'").join(ids, "word", "left_anti")
     beginnings = F.transform(F.sequence(F.lit(3), F.char_length("word") - 1), lambda i: F.substring("word", F.lit(1), i))
-    offered = words.select("word", F.explode(_deletions(F.col("word"))).alias("key"), F.lit(False).alias("short"))
+    offered = words.select("word", F.explode(F.when(F.char_length("word") >= LONG, _two_deletions(F.col("word"))).otherwise(_deletions(F.col("word")))).alias("key"), F.lit(False).alias("short"))
     offered = offered.unionByName(words.where("char_length(word) > 3").select("word", F.explode(beginnings).alias("key"), F.lit(True).alias("short")))
     letters = oov.where(r"token rlike '^\\p{L}{3,}$'")
-    asked = letters.select("token", F.explode(_deletions(F.col("token"))).alias("key"))
+    # only tokens of about the length of a long word can be two edits away from one
+    letters = letters.crossJoin(F.broadcast(words.agg(F.coalesce(F.max(F.char_length("word")), F.lit(0)).alias("_longest"))))
+    reaches = F.char_length("token").between(LONG - 2, F.col("_longest") + 2)
+    asked = letters.select("token", F.explode(F.when(reaches, _two_deletions(F.col("token"))).otherwise(_deletions(F.col("token")))).alias("key"))
     edits = F.levenshtein("token", "word")
     same_start = F.substring("token", 1, 1) == F.substring("word", 1, 1)
     # one swap of neighbours is two edits on the same letters
     swap = (edits == 2) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("word", "")))
-    near = ~F.col("short") & same_start & ((edits <= 1) | swap | ((F.char_length("word") >= 8) & (edits <= 2)))
+    near = ~F.col("short") & same_start & ((edits <= 1) | swap | ((F.char_length("word") >= LONG) & (edits <= 2)))
     begins = F.col("short") & (F.col("key") == F.col("token"))
     pairs = asked.join(offered, "key").where(near | begins)
     cost = F.when(F.col("short"), F.lit(3)).when(swap, F.lit(1)).otherwise(edits)

@@ -36,3 +36,11 @@ def test_empty_tables(spark):
 def test_very_long_value(spark):
     values = spark.createDataFrame([(1, "lanternwrks publc " * 20000)], "record_id bigint, raw string")
     assert [r.ref_id for r in canonical.map_values(values, spark.createDataFrame(LICENSES, ENTRIES), "license").collect()] == ["none"]
+
+
+def test_two_edits_in_long_words(spark):
+    typos = ["lantrnwrks", "lqntermworks", "laanternworkks", "lantxrnwrks", "lanternworksab"]  # missing, changed, added, both, added behind
+    cases = {f"{t} public license 2.0": "LWPL-2.0" for t in typos} | {"lantrnwrk public license 2.0": "none", "lanternworks pblc license 2.0": "none"}
+    values = spark.createDataFrame(list(enumerate(cases)), "record_id bigint, raw string")
+    rows = canonical.map_values(values, spark.createDataFrame(LICENSES, ENTRIES), "license").collect()
+    assert {r.raw: r.ref_id for r in rows} == cases
