@@ -124,17 +124,23 @@ SARIF_EDGES = (Edge("runs", "run", (Edge("rules", "rule"), Edge("results", "resu
 CBOM_EDGES = (Edge("components", "component", (Edge("functions", "function"),)),)
 
 
-def readable(payload: Column, wraps: int = 3) -> Column:
+#: more layers of JSON strings than a text of 2 GB can hold
+LAYERS = 30
+
+
+def readable(payload: Column) -> Column:
     """The JSON object that a payload holds, as a variant; a byte order mark or
-    blanks before it and up to ``wraps`` layers of JSON strings around it are
-    taken off. Null where the payload isn't one whole JSON object."""
+    blanks before it and all layers of JSON strings around it are taken off.
+    Null where the payload isn't one whole JSON object."""
     bare = lambda s: F.regexp_replace(s, "^[﻿\\s]+|(?<!\\s)\\s+$", "")
     # within brackets anything after the first value makes the text unreadable or a list of two
     alone = lambda a: F.when(F.try_variant_get(a, "$[1]", "variant").isNull(), F.try_variant_get(a, "$[0]", "variant"))
     whole = lambda s: F.when(s.rlike(r'^[{"]'), _let(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))), alone))
-    v = whole(bare(payload))
-    for _ in range(wraps):
-        v = _let(v, lambda x: F.when(F.schema_of_variant(x) == "STRING", whole(bare(F.try_variant_get(x, "$", "string")))).otherwise(x))
+    # each layer stays as it is once no quotation mark opens the text; escapes double
+    # with every layer, so k of them take 2 ** (k + 1) characters and LAYERS are never full
+    unwrap = lambda s: F.when(s.startswith('"'), bare(F.try_variant_get(whole(s), "$", "string"))).otherwise(s)
+    text = _let(bare(payload), lambda s: F.when(s.startswith('"'), F.reduce(F.sequence(F.lit(1), F.lit(LAYERS)), s, lambda t, _: unwrap(t))).otherwise(s))
+    v = _let(text, whole)
     return _let(v, lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), x))
 
 

@@ -77,3 +77,15 @@ def test_equal_objects_are_one_node_and_differences_count(spark):
     assert sorted((r.record_id, r.ordinal) for r in forest.roots.collect()) == [(1, 0), (1, 2), (2, 0), (2, 1)]
     assert nested.walk(forest, "usage", "trace", "step").count() == 8
     assert forest.bridges.where("edge = 'call_step'").select(F.count("*")).first()[0] == 2
+
+
+def test_payloads_wrapped_many_times(spark):
+    doc = json.dumps({"runs": {"tool": {"driver": {"rules": [{"id": "A"}]}}}})
+    rows, text = [], doc
+    for n in range(11):
+        rows.append((n, None, "\n" + text + " "))
+        text = json.dumps(text)
+    rows.append((99, None, text + text))
+    a = spark.createDataFrame([], "analysis_id bigint, crypto array<struct<call_path: array<string>, traces: array<struct<call_steps: array<string>>>>>")
+    got = sorted(map(tuple, nested.flat_positions(a, spark.createDataFrame(rows, REPORTS)).collect()))
+    assert got == [("sarif_rule", n, 0, 0, -1) for n in range(11)]
