@@ -147,3 +147,17 @@ def formatting_copies(packages: DataFrame, dependencies: DataFrame) -> DataFrame
         rows = Scratch(rows.sparkSession, "keys").put(rows)
         out.append(copies(rows, ledger_of(rows, "batch")).select(F.lit(kind).alias("kind"), "keep_id", "copy_id"))
     return out[0].unionByName(out[1])
+
+
+def formatting_records(packages: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(kind, keep_id, n): one row per record with its number of copies, itself
+    among them, from ledgers on disk that take one batch per year of ingestion."""
+    out = []
+    for kind, rows in (("package_info", package_keys(packages)), ("dependency", dependency_keys(dependencies))):
+        scratch = Scratch(rows.sparkSession, "records")
+        rows = scratch.put(rows)
+        ledger = Ledger(rows.sparkSession, f"{scratch.root}/ledger")
+        for b in [r[0] for r in rows.select("batch").distinct().orderBy(F.col("batch").asc_nulls_first()).collect()]:
+            ledger.apply(rows.where(F.col("batch").eqNullSafe(F.lit(b))))
+        out.append(ledger.read().select(F.lit(kind).alias("kind"), "keep_id", "n"))
+    return out[0].unionByName(out[1])

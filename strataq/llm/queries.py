@@ -29,6 +29,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.formatting_copies(_t(spark, sf, "package_info"), _t(spark, sf, "dependency"))
 
 
+def p2_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per record with its number of copies."""
+    return duplicates.formatting_records(_t(spark, sf, "package_info"), _t(spark, sf, "dependency"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.survivors(_t(spark, sf, "package_analysis")).select("group_id", "field", "source_id")
 
@@ -60,7 +65,7 @@ def p9_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(sentences.prose(_t(spark, sf, "documents")), "doc_id", "text", with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p3_found, p3_fused, p7_ids, p8_pack, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_records, p3_found, p3_fused, p7_ids, p8_pack, p9_found, p9_sentences)}
 
 _P2 = """
 WITH a AS (SELECT 'package_info' AS kind, info_id AS id, NULL::BIGINT AS scan_id,

@@ -53,3 +53,9 @@ def test_ledger_on_disk_equals_one_count(spark, tmp_path):
     # a generation that was not finished is not read
     (tmp_path / "ledger" / "gen=99" / "bucket=1").mkdir(parents=True)
     assert order(ledger.read()) == order(duplicates.count_keys(keyed))
+
+
+def test_records_with_their_copies(spark):
+    p = spark.createDataFrame([package(7), package(3, name=" a_B ", at=NEW), package(9, name="other", at=None)], PACKAGES)
+    d = spark.createDataFrame([(1, 1, "x", "1", "npm", NEW), (2, 1, "X", "v1", "NPM", OLD), (4, 2, "x", "1", "npm", OLD)], DEPENDENCIES)
+    assert sorted(map(tuple, duplicates.formatting_records(p, d).collect())) == [("dependency", 1, 2), ("dependency", 4, 1), ("package_info", 3, 2), ("package_info", 9, 1)]
