@@ -106,7 +106,9 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacities: Sequence[tupl
 
     # at most capacity rows go into a task, at most capacity * ln(capacity) combinations come out
     planned = histogram.groupBy("capacity_id").applyInPandas(solve, "capacity_id int, size bigint, rank bigint, n bigint, container bigint, per bigint, place bigint")
-    segments = planned.orderBy("capacity_id", "size", "rank").toPandas()
+    # a combination of k different lengths fills at least k * (k + 1) / 2, so it has at most
+    # sqrt(2 * capacity) segments: the list that comes to the driver is bounded by the capacity
+    segments = planned.toPandas().sort_values(["capacity_id", "size", "rank"])
     tables = {k: tuple(g[c].to_numpy() for c in ("rank", "container", "per", "place")) for k, g in segments.groupby(["capacity_id", "size"])}
     shared = sizes.sparkSession.sparkContext.broadcast(tables)
 
@@ -137,3 +139,13 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacities: Sequence[tupl
     kind = dict(ranked.dtypes)
     out = ranked.mapInArrow(assign, ", ".join(f"`{c}` {kind[c]}" for c in columns[:4]) + ", container_id bigint, place bigint")
     return out.select("capacity_id", "container_id", "place", id_col, "piece", "size")
+
+
+def slack(packed: DataFrame, capacities: Sequence[tuple[int, int]]) -> DataFrame:
+    """(capacity_id, capacity, containers, least, unused, overfull): the containers
+    used, the least number that the total would fill, the unused tokens, and the
+    containers filled beyond the capacity (none)."""
+    bound = F.create_map(*[F.lit(x).cast("bigint") for kv in capacities for x in kv])
+    fill = packed.groupBy("capacity_id", "container_id").agg(F.sum("size").alias("_fill")).withColumn("capacity", F.element_at(bound, F.col("capacity_id").cast("bigint")))
+    out = fill.groupBy("capacity_id", "capacity").agg(F.count("*").alias("containers"), F.sum("_fill").alias("_total"), F.count_if(F.col("_fill") > F.col("capacity")).alias("overfull"))
+    return out.select("capacity_id", "capacity", "containers", F.ceil(F.col("_total") / F.col("capacity")).alias("least"), (F.col("containers") * F.col("capacity") - F.col("_total")).alias("unused"), "overfull")

@@ -47,13 +47,21 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode_texts(_t(spark, sf, "documents"), "doc_id", "text")
 
 
+def _capacities(spark: SparkSession, sf: str) -> list[tuple[int, int]]:
+    return [(r.capacity_id, r.capacity_tokens) for r in _t(spark, sf, "pack_capacity").orderBy("capacity_id").collect()]
+
+
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Container and place of every text or piece for each capacity. The token
     counts are read several times, so they are written once."""
     counts = tokenize.encode_texts(_t(spark, sf, "documents"), "doc_id", "text", counts_only=True)
     counts = Scratch(spark, "packing").put(counts)
-    capacities = [(r.capacity_id, r.capacity_tokens) for r in _t(spark, sf, "pack_capacity").orderBy("capacity_id").collect()]
-    return packing.pack(counts, "doc_id", "n_tokens", capacities)
+    return packing.pack(counts, "doc_id", "n_tokens", _capacities(spark, sf))
+
+
+def p8_slack(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers used for each capacity beside the least number possible."""
+    return packing.slack(p8_pack(spark, sf), _capacities(spark, sf))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +73,7 @@ def p9_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(sentences.prose(_t(spark, sf, "documents")), "doc_id", "text", with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_records, p3_found, p3_fused, p7_ids, p8_pack, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_records, p3_found, p3_fused, p7_ids, p8_pack, p8_slack, p9_found, p9_sentences)}
 
 _P2 = """
 WITH a AS (SELECT 'package_info' AS kind, info_id AS id, NULL::BIGINT AS scan_id,

@@ -1,23 +1,24 @@
 """Encoding texts with a public byte-level BPE tokenizer by a tree of joins.
 
-A text longer than a leaf is halved recursively; leaves are encoded by the
-tokenizer library and neighbours are joined bottom-up. The join is associative:
-it keeps the left tokens up to a point that no following text can change,
-re-encodes a window across the seam, and goes on with the right tokens from the
-first point where the window and the right part provably agree; the window grows
-until there is one. Decoding concatenates the bytes of the pieces in order.
-
-Why the kept parts are stable: the byte-level pattern cuts a text from left to
-right, a cut depends on the text after the previous cut only, and no alternative
-of the pattern looks further than three characters past a finished cut. BPE never
-merges across cuts. So (a) cuts at least three characters before the end of a
-part stay whatever follows, and (b) two encodings that share a cut agree from
-there on as long as their texts do.
+A text is halved recursively down to leaves, every leaf is encoded by the same
+encoder, and neighbours are joined bottom-up; a text of one leaf is a tree of one
+node. The join is associative: it looks for a certain cut near the seam in either
+part, in windows that grow until there is one, re-encodes what lies between the
+two cuts and keeps all tokens outside. Decoding concatenates the bytes of the
+pieces in order.
+
+Why the tokens outside are stable: the byte-level pattern cuts a text from left to
+right into words, and merges never cross cuts. Its alternatives are a contraction,
+letters, numbers or other signs, each of the last three with at most one space
+before, and white space. So no word holds (a) white space behind another
+character, nor (b) anything but letters behind a letter. A cut between such two
+characters is made whatever the rest of the text is: the tokens before it and
+behind it are those of the two stretches encoded alone.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,140 +28,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOOK_AHEAD = 3
 LEAF_CHARS = 4096
 WINDOW_CHARS = 64
 #: characters that one Python call handles at once
 SLICE_CHARS = 4_000_000
 
-
-@lru_cache(maxsize=4)
-def _tokenizer(path: str | None):
-    from tokenizers import Tokenizer
-
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # the strings of special tokens are ordinary text
-    return t
+# certain cuts; letters, signs and blanks whose class is the same in every version of Unicode
+_LETTER = "A-Za-z\u0430-\u044f\u0410-\u042f\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5"
+_CUT = re.compile(f"(?<=[^\\s\x00-\x1f\x85])(?=[ \\n\\r\\t])|(?<=[{_LETTER}])(?=[0-9.,;:!?()\u3001\u3002\uff0c\uff01\uff1a\uff1b\uff1f])")
 
 
 @lru_cache(maxsize=4)
-def _ranked(path: str | None):
-    """The same vocabulary for the faster library, which tells no cuts; None where
-    there is no file of ranks beside the tokenizer's."""
+def _encoder(path: str | None):
+    """The encoder of a file of ranks (base64 bytes and rank on each line)."""
     import base64
-    import os
 
     import public_tokenizers
     import tiktoken
 
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken") if path is None else os.path.splitext(path)[0] + ".tiktoken"
-    if not os.path.exists(ranks):
-        return None
-    with open(ranks, "rb") as f:
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def _encode(encoder, text: str) -> list[int]:
+    return encoder.encode_ordinary(text)
+
+
 @dataclass
 class Part:
-    """An encoded stretch: its text, token ids, and for each cut of the pattern
-    the character and the token at which it starts."""
+    """An encoded stretch: characters start to end of a text, and its ids."""
 
-    text: str
+    start: int
+    end: int
     ids: list[int]
-    cut_chars: list[int]
-    cut_tokens: list[int]
-
 
-def _part(text: str, enc) -> Part:
-    words, offsets = enc.word_ids, enc.offsets
-    firsts = [i for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
-    return Part(text, enc.ids, [offsets[i][0] for i in firsts], firsts)
 
-
-def _encode(tokenizer, text: str) -> Part:
-    return _part(text, tokenizer.encode(text, add_special_tokens=False))
+def _last_cut(text: str, start: int, end: int, window: int) -> int:
+    """The last certain cut within (start, end), else start."""
+    while True:
+        lo = max(start, end - window)
+        cuts = [m.start() for m in _CUT.finditer(text, lo, end) if lo < m.start()]
+        if cuts or lo == start:
+            return cuts[-1] if cuts else start
+        window *= 2
 
 
-def join(tokenizer, a: Part, b: Part, window: int = WINDOW_CHARS) -> Part:
-    """The encoding of a.text + b.text from those of its parts."""
-    if not a.text or not b.text:
-        return a if a.text else b
-    k = max(bisect_right(a.cut_chars, len(a.text) - LOOK_AHEAD) - 1, 0)
-    keep_char, keep_token = a.cut_chars[k], a.cut_tokens[k]
-    tail = a.text[keep_char:]
+def _first_cut(text: str, start: int, end: int, window: int) -> int:
+    """The first certain cut within (start, end), else end."""
     while True:
-        ends = window >= len(b.text)
-        w = _encode(tokenizer, tail + b.text[:window])
-        known = len(w.text) if ends else len(w.text) - LOOK_AHEAD
-        for i, c in enumerate(w.cut_chars):
-            at = c - len(tail)
-            if at < 0:
-                continue
-            if c > known:
-                break
-            j = bisect_right(b.cut_chars, at) - 1
-            if b.cut_chars[j] == at:
-                t, shift = w.cut_tokens[i], keep_token + w.cut_tokens[i] - b.cut_tokens[j]
-                return Part(
-                    a.text + b.text,
-                    a.ids[:keep_token] + w.ids[:t] + b.ids[b.cut_tokens[j] :],
-                    a.cut_chars[:k] + [x + keep_char for x in w.cut_chars[:i]] + [x + len(a.text) for x in b.cut_chars[j:]],
-                    a.cut_tokens[:k] + [x + keep_token for x in w.cut_tokens[:i]] + [x + shift for x in b.cut_tokens[j:]],
-                )
-        if ends:
-            return Part(a.text + b.text, a.ids[:keep_token] + w.ids, a.cut_chars[:k] + [x + keep_char for x in w.cut_chars], a.cut_tokens[:k] + [x + keep_token for x in w.cut_tokens])
+        hi = min(end, start + window)
+        at = next((m.start() for m in _CUT.finditer(text, start, hi) if start < m.start()), None)
+        if at is not None or hi == end:
+            return end if at is None else at
         window *= 2
 
 
-def _halves(text: str, leaf: int) -> list[str]:
-    """The leaves of the tree over a text, in order."""
-    if len(text) <= leaf:
-        return [text]
-    mid = len(text) // 2
-    return _halves(text[:mid], leaf) + _halves(text[mid:], leaf)
+def join(encoder, text: str, a: Part, b: Part, window: int = WINDOW_CHARS) -> Part:
+    """The encoding of neighbouring parts from theirs."""
+    if a.start == a.end or b.start == b.end:
+        return b if a.start == a.end else a
+    lo, hi = _last_cut(text, a.start, a.end, window), _first_cut(text, b.start, b.end, window)
+    kept = len(a.ids) - len(_encode(encoder, text[lo : a.end]))
+    dropped = len(_encode(encoder, text[b.start : hi]))
+    return Part(a.start, b.end, a.ids[:kept] + _encode(encoder, text[lo:hi]) + b.ids[dropped:])
 
 
-def _reduce(tokenizer, text: str, parts: Iterator[Part], leaf: int) -> Part:
-    """Joins the leaves up the same tree."""
-    if len(text) <= leaf:
-        return next(parts)
-    mid = len(text) // 2
-    left = _reduce(tokenizer, text[:mid], parts, leaf)
-    return join(tokenizer, left, _reduce(tokenizer, text[mid:], parts, leaf))
+def _reduce(encoder, text: str, start: int, end: int, leaf: int) -> Part:
+    """Halves a stretch down to leaves, encodes them and joins them up the tree."""
+    if end - start <= leaf:
+        return Part(start, end, _encode(encoder, text[start:end]))
+    mid = (start + end) // 2
+    return join(encoder, text, _reduce(encoder, text, start, mid, leaf), _reduce(encoder, text, mid, end, leaf))
 
 
-def encode_all(texts: Iterable[str | None], tokenizer_path: str | None = None, leaf: int = LEAF_CHARS) -> list[list[int]]:
+def encode_all(texts: Iterable[str | None], ranks_path: str | None = None, leaf: int = LEAF_CHARS) -> list[list[int]]:
     """Token ids of each text, without special tokens; an empty list for an empty
     and for a null text."""
-    tokenizer = _tokenizer(tokenizer_path)
-    texts = [t or "" for t in texts]
-    out: list[list[int]] = [[] for _ in texts]
-    ranked = _ranked(tokenizer_path)
-    short = [i for i, t in enumerate(texts) if 0 < len(t) <= leaf]
-    if ranked:  # a text of one leaf needs no cuts
-        for i in short:
-            out[i] = ranked.encode_ordinary(texts[i])
-    else:
-        for i, enc in zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
-            out[i] = enc.ids
-    for i, t in enumerate(texts):
-        if len(t) > leaf:
-            leaves = _halves(t, leaf)
-            encoded = tokenizer.encode_batch(leaves, add_special_tokens=False)
-            out[i] = _reduce(tokenizer, t, iter([_part(x, e) for x, e in zip(leaves, encoded)]), leaf).ids
-    return out
-
-
-def decode(parts: Iterable[Iterable[int]], tokenizer_path: str | None = None) -> str:
+    encoder = _encoder(ranks_path)
+    return [_reduce(encoder, t, 0, len(t), leaf).ids if t else [] for t in texts]
+
+
+def decode(parts: Iterable[Iterable[int]], ranks_path: str | None = None) -> str:
     """The text of consecutive pieces of ids: byte strings concatenate."""
-    tokenizer = _tokenizer(tokenizer_path)
-    ids = [i for p in parts for i in p]
-    return tokenizer.decode(ids, skip_special_tokens=False)
+    encoder = _encoder(ranks_path)
+    return b"".join(encoder.decode_bytes(list(p)) for p in parts).decode()
 
 
 def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
@@ -174,19 +126,16 @@ def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def encode_texts(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str | None = None, leaf: int = LEAF_CHARS, counts_only: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, id_col: str, text_col: str, ranks_path: str | None = None, leaf: int = LEAF_CHARS, counts_only: bool = False) -> DataFrame:
     """One row per row of ``df``: id and ``ids`` (array<int>), or ``n_tokens``
     with ``counts_only``. Null and empty texts give an empty list, repeated rows
     and ids come out as often as they go in, other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in _slices([len(t or "") for t in texts]):
-                ids = encode_all(texts[lo:hi], tokenizer_path, leaf)
+                ids = encode_all(texts[lo:hi], ranks_path, leaf)
                 n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
                 if counts_only:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n)], names=["id", "n_tokens"])

@@ -55,3 +55,10 @@ def test_pack_on_rows(spark):
         total = sum(n or 0 for _, n in sizes)
         assert len(fill) <= -(-total // capacity) + 2
     assert packing.pack(df.limit(0), "doc_id", "n_tokens", [(1, 100)]).count() == 0
+
+
+def test_slack(spark):
+    df = spark.createDataFrame([(1, 60), (2, 60), (3, 40), (4, 0), (5, 250)], "doc_id bigint, n_tokens bigint")
+    packed = packing.pack(df, "doc_id", "n_tokens", [(1, 100), (2, 1000)])
+    got = {r.capacity_id: (r.capacity, r.containers, r.least, r.unused, r.overfull) for r in packing.slack(packed, [(1, 100), (2, 1000)]).collect()}
+    assert got == {1: (100, 5, 5, 90, 0), 2: (1000, 1, 1, 590, 0)}
