@@ -9,17 +9,18 @@ the buckets it touches; counts add up and the earlier representative stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.materialize import Scratch
+from strataq.skew import look_up
 
-BUCKETS = 256
-#: a key is hot when it holds more than one in so many copies; there are at most
-#: that many hot keys, which bounds what is broadcast
-HOT_SHARE = 1000
+BUCKETS = 64
+#: tasks that may write one bucket
+SLICES = 16
 KEY = ["bucket", "k1", "k2"]
 LEDGER = "bucket int, k1 bigint, k2 bigint, keep_id bigint, n bigint"
 
@@ -64,7 +65,9 @@ def merge(ledger: DataFrame, batch: DataFrame) -> DataFrame:
 
 class Ledger:
     """A ledger kept in a folder. Each batch writes a new generation of the
-    buckets it touches; a generation that was not finished is ignored."""
+    buckets it touches, in a folder named after the generation and the batch; one
+    that was not finished is ignored and a batch already in the ledger is not
+    counted again, so a batch may be repeated after a failure."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -76,56 +79,70 @@ class Ledger:
         at = self._path(path)
         return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
-    def _current(self) -> dict[int, int]:
-        """Bucket to its latest finished generation."""
-        out: dict[int, int] = {}
-        for g in sorted(int(n[4:]) for n in self._names(self.path) if n.startswith("gen=")):
-            names = self._names(f"{self.path}/gen={g}")
-            if "_SUCCESS" in names:
-                out |= {int(n[7:]): g for n in names if n.startswith("bucket=")}
+    def _generations(self) -> dict[int, tuple[str, list[int]]]:
+        """Number of each finished generation to its folder and buckets, in order."""
+        out = {}
+        for name in sorted(n for n in self._names(self.path) if n.startswith("gen=")):
+            inside = self._names(f"{self.path}/{name}")
+            if "_SUCCESS" in inside:
+                out[int(name[4:12])] = (name, [int(n[7:]) for n in inside if n.startswith("bucket=")])
         return out
 
+    def _current(self) -> dict[int, str]:
+        """Bucket to the folder of its latest generation."""
+        return {b: name for name, buckets in self._generations().values() for b in buckets}
+
     def read(self, buckets: Iterable[int] | None = None) -> DataFrame:
         current = self._current()
         wanted = current if buckets is None else {b: current[b] for b in buckets if b in current}
         if not wanted:
             return self.spark.createDataFrame([], LEDGER)
-        paths = [f"{self.path}/gen={g}/bucket={b}" for b, g in wanted.items()]
-        stored = self.spark.read.option("basePath", self.path).schema("k1 bigint, k2 bigint, keep_id bigint, n bigint, gen int, bucket int").parquet(*paths)
+        paths = [f"{self.path}/{name}/bucket={b}" for b, name in wanted.items()]
+        stored = self.spark.read.option("basePath", self.path).schema("k1 bigint, k2 bigint, keep_id bigint, n bigint, gen string, bucket int").parquet(*paths)
         return stored.select("bucket", "k1", "k2", "keep_id", "n")
 
-    def apply(self, rows: DataFrame) -> None:
-        """Adds a batch of keyed rows."""
-        batch = Scratch(self.spark, "ledger").put(count_keys(rows))
+    def apply(self, rows: DataFrame, batch_id: object) -> bool:
+        """Adds a batch of keyed rows; False where a batch of that id is in the
+        ledger already."""
+        tag, done = quote(str(batch_id), safe=""), self._generations()
+        if any(name[13:] == tag for name, _ in done.values()):
+            return False
+        scratch = Scratch(self.spark, "ledger")
+        batch = scratch.put(count_keys(rows))
         touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        if touched:
-            gen = 1 + max([int(n[4:]) for n in self._names(self.path) if n.startswith("gen=")], default=0)
-            merged = merge(self.read(touched), batch)
-            merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/gen={gen}")
-
-
-def ledger_of(rows: DataFrame, batch_col: str) -> DataFrame:
-    """Keyed rows taken batch by batch, in order of ``batch_col`` (a coarse value
-    such as the year of delivery, so the list of batches is short)."""
-    batches = [r[0] for r in rows.select(batch_col).distinct().orderBy(F.col(batch_col).asc_nulls_first()).collect()]
-    out = None
-    for b in batches:
-        counted = count_keys(rows.where(F.col(batch_col).eqNullSafe(F.lit(b))))
-        out = counted if out is None else merge(out, counted)
-    return out if out is not None else count_keys(rows)
+        # the rows of a bucket are written by as many tasks as they need
+        merged = merge(self.read(touched), batch).repartition("bucket", F.pmod("k2", F.lit(SLICES)))
+        path = f"{self.path}/gen={max(done, default=0) + 1:08d}-{tag}"
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        scratch.clear()
+        self._clean()
+        return True
+
+    def _clean(self) -> None:
+        """Removes buckets that two later generations have replaced; the one before
+        the latest stays for readers at work."""
+        seen: dict[int, int] = {}
+        for name, buckets in reversed(list(self._generations().values())):
+            for b in buckets:
+                seen[b] = seen.get(b, 0) + 1
+                if seen[b] > 2:
+                    self._fs.delete(self._path(f"{self.path}/{name}/bucket={b}"), True)
+
+
+def ledger_of(rows: DataFrame, batch_col: str, scratch: Scratch) -> Ledger:
+    """A ledger that takes keyed rows batch by batch, in order of ``batch_col`` (a
+    coarse value such as the year of delivery, so the list of batches is short).
+    Where the rows are partitioned by it, each batch reads its own files only."""
+    ledger = Ledger(rows.sparkSession, f"{scratch.root}/ledger")
+    for r in rows.select(batch_col).distinct().orderBy(F.col(batch_col).asc_nulls_first()).collect():
+        ledger.apply(rows.where(F.col(batch_col).isNull() if r[0] is None else F.col(batch_col) == r[0]), r[0])
+    return ledger
 
 
 def copies(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """(keep_id, copy_id) of every row that isn't its key's representative."""
-    scratch = Scratch(rows.sparkSession, "duplicates")
-    repeated = scratch.put(ledger.where("n > 1").select("k1", "k2", "keep_id", "n"))
-    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_hot = F.col("n") * HOT_SHARE > total
-    hot = F.broadcast(repeated.where(is_hot).drop("n"))  # at most HOT_SHARE rows
-    plain = repeated.where(~is_hot).drop("n")
-    ids = rows.select("id", "k1", "k2")
-    found = ids.join(hot, ["k1", "k2"]).unionByName(ids.join(hot.select("k1", "k2"), ["k1", "k2"], "left_anti").join(plain, ["k1", "k2"]))
-    return found.where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    repeated = ledger.where("n > 1").select("k1", "k2", "keep_id", "n")
+    return look_up(rows.select("id", "k1", "k2"), repeated, ["k1", "k2"], "n").where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
 
 def package_keys(packages: DataFrame) -> DataFrame:
@@ -139,25 +156,23 @@ def dependency_keys(dependencies: DataFrame) -> DataFrame:
     return keyed(dependencies, "dep_id", fields, F.year("ingested_at").alias("batch"))
 
 
-def formatting_copies(packages: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """(kind, keep_id, copy_id) of both tables. The keys are computed once and
-    written, as counting and looking up both read them."""
-    out = []
+def _ledgers(packages: DataFrame, dependencies: DataFrame) -> Iterator[tuple[str, DataFrame, Ledger]]:
+    """Kind, keyed rows and ledger of both tables. The keys are computed once and
+    written by batch, as counting and looking up both read them."""
     for kind, rows in (("package_info", package_keys(packages)), ("dependency", dependency_keys(dependencies))):
-        rows = Scratch(rows.sparkSession, "keys").put(rows)
-        out.append(copies(rows, ledger_of(rows, "batch")).select(F.lit(kind).alias("kind"), "keep_id", "copy_id"))
+        scratch = Scratch(rows.sparkSession, "records")
+        rows = scratch.put(rows, "batch")
+        yield kind, rows, ledger_of(rows, "batch", scratch)
+
+
+def formatting_copies(packages: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(kind, keep_id, copy_id) of both tables."""
+    out = [copies(rows, ledger.read()).select(F.lit(kind).alias("kind"), "keep_id", "copy_id") for kind, rows, ledger in _ledgers(packages, dependencies)]
     return out[0].unionByName(out[1])
 
 
 def formatting_records(packages: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(kind, keep_id, n): one row per record with its number of copies, itself
-    among them, from ledgers on disk that take one batch per year of ingestion."""
-    out = []
-    for kind, rows in (("package_info", package_keys(packages)), ("dependency", dependency_keys(dependencies))):
-        scratch = Scratch(rows.sparkSession, "records")
-        rows = scratch.put(rows)
-        ledger = Ledger(rows.sparkSession, f"{scratch.root}/ledger")
-        for b in [r[0] for r in rows.select("batch").distinct().orderBy(F.col("batch").asc_nulls_first()).collect()]:
-            ledger.apply(rows.where(F.col("batch").eqNullSafe(F.lit(b))))
-        out.append(ledger.read().select(F.lit(kind).alias("kind"), "keep_id", "n"))
+    among them."""
+    out = [ledger.read().select(F.lit(kind).alias("kind"), "keep_id", "n") for kind, _, ledger in _ledgers(packages, dependencies)]
     return out[0].unionByName(out[1])

@@ -35,12 +35,13 @@ def p2_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return survivor.survivors(_t(spark, sf, "package_analysis")).select("group_id", "field", "source_id")
+    return survivor.survivors(_t(spark, sf, "package_analysis"))
 
 
 def p3_fused(spark: SparkSession, sf: str) -> DataFrame:
-    """Survivors where confidence is a finite prior that votes can overrule."""
-    return survivor.survivors(_t(spark, sf, "package_analysis"), prior="odds")
+    """Survivors by Bayesian fusion with copy detection, where confidence is a
+    prior that votes can overrule."""
+    return survivor.fused(_t(spark, sf, "package_analysis"))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,12 +46,16 @@ def test_ledger_on_disk_equals_one_count(spark, tmp_path):
     keyed = duplicates.package_keys(spark.createDataFrame(rows, PACKAGES))
     ledger = duplicates.Ledger(spark, str(tmp_path / "ledger"))
     for part in range(3):
-        ledger.apply(keyed.where(f"id % 3 = {part}"))
-    ledger.apply(keyed.limit(0))
+        assert ledger.apply(keyed.where(f"id % 3 = {part}"), f"day/{part}")
+    assert ledger.apply(keyed.limit(0), None)
+    assert not ledger.apply(keyed.where("id % 3 = 1"), "day/1")  # a batch repeated counts once
     order = lambda df: sorted(map(tuple, df.select("k1", "k2", "keep_id", "n").collect()))
     assert order(ledger.read()) == order(duplicates.count_keys(keyed))
+    # what two later generations have replaced is gone
+    kept = [b.name for g in (tmp_path / "ledger").iterdir() for b in g.iterdir() if b.name.startswith("bucket=")]
+    assert max(map(kept.count, kept)) <= 2
     # a generation that was not finished is not read
-    (tmp_path / "ledger" / "gen=99" / "bucket=1").mkdir(parents=True)
+    (tmp_path / "ledger" / "gen=00000099-x" / "bucket=1").mkdir(parents=True)
     assert order(ledger.read()) == order(duplicates.count_keys(keyed))
 
 
