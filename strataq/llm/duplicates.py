@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from strataq.materialize import Scratch
 from strataq.skew import look_up
 
-BUCKETS = 64
-#: tasks that may write one bucket
-SLICES = 16
+BUCKETS = 16
+#: ledger rows that one task writes of a bucket; larger buckets are written by several
+TASK_ROWS = 2_000_000
 KEY = ["bucket", "k1", "k2"]
 LEDGER = "bucket int, k1 bigint, k2 bigint, keep_id bigint, n bigint"
 
@@ -110,8 +110,10 @@ class Ledger:
         scratch = Scratch(self.spark, "ledger")
         batch = scratch.put(count_keys(rows))
         touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        old = self.read(touched)
         # the rows of a bucket are written by as many tasks as they need
-        merged = merge(self.read(touched), batch).repartition("bucket", F.pmod("k2", F.lit(SLICES)))
+        slices = 1 + (old.count() + batch.count()) // (BUCKETS * TASK_ROWS)
+        merged = merge(old, batch).repartition("bucket", *([F.pmod("k2", F.lit(slices))] if slices > 1 else []))
         path = f"{self.path}/gen={max(done, default=0) + 1:08d}-{tag}"
         merged.write.mode("overwrite").partitionBy("bucket").parquet(path)
         scratch.clear()

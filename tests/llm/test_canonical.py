@@ -3,6 +3,16 @@ import pytest
 from strataq.llm import canonical
 
 ENTRIES = "ref_id string, title string, version string"
+
+
+def mapped(spark, values, entries, kind, **kw):
+    from pyspark.sql import functions as F
+
+    kinds = lambda df: df.withColumn("kind", F.lit(kind))
+    entries = entries if hasattr(entries, "schema") else spark.createDataFrame(entries, ENTRIES)
+    return canonical.map_values(kinds(values), kinds(entries), **kw)
+
+
 LICENSES = [("LWPL-1.0", "Lanternworks Public License", "1.0"), ("LWPL-2.0", "Lanternworks Public License", "2.0"), ("HGCL-2.0", "Harrowgate Community License", "2.0"), ("HGLCL-2.1", "Harrowgate Lesser Community License", "2.1"), ("FFSG-1.0", "Ferncliff Free Software Grant", "1.0")]
 ALGORITHMS = [("AES-128-GCM", "Advanced Encryption Standard with 128 bit key in Galois counter mode", None), ("SHA-256", "Second family secure hash with 256 bit digest", None), ("SHA3-256", "Third family sponge hash with 256 bit digest", None), ("HMAC-SHA-256", "Keyed authentication code over the 256 bit second family hash", None), ("scrypt", "Memory hard password derivation named scrypt", None), ("ML-KEM-768", "Module lattice key encapsulation, middle strength", None), ("RSA-2048", "Rivest Shamir Adleman with 2048 bit modulus", None)]
 
@@ -21,7 +31,7 @@ ALGORITHM_CASES = {
 def test_mapping(spark, kind, entries, cases):
     values = [(i, v) for i, v in enumerate(cases)] + [(100, None), (101, " \t"), (102, entries[0][0]), (0, next(iter(cases)))]
     df = spark.createDataFrame(values, "record_id bigint, raw string")
-    rows = canonical.map_values(df, spark.createDataFrame(entries, ENTRIES), kind).collect()
+    rows = mapped(spark, df, entries, kind).collect()
     assert {r.raw: r.ref_id for r in rows} == cases
     assert len(rows) == len(cases) + 1
 
@@ -29,18 +39,39 @@ def test_mapping(spark, kind, entries, cases):
 def test_empty_tables(spark):
     values = spark.createDataFrame([(1, "LWPL")], "record_id bigint, raw string")
     entries = spark.createDataFrame(LICENSES, ENTRIES)
-    assert canonical.map_values(values.limit(0), entries, "license").count() == 0
-    assert [r.ref_id for r in canonical.map_values(values, entries.limit(0), "license").collect()] == ["none"]
+    assert mapped(spark, values.limit(0), entries, "license").count() == 0
+    assert [r.ref_id for r in mapped(spark, values, entries.limit(0), "license").collect()] == ["none"]
 
 
 def test_very_long_value(spark):
     values = spark.createDataFrame([(1, "lanternwrks publc " * 20000)], "record_id bigint, raw string")
-    assert [r.ref_id for r in canonical.map_values(values, spark.createDataFrame(LICENSES, ENTRIES), "license").collect()] == ["none"]
+    assert [r.ref_id for r in mapped(spark, values, LICENSES, "license").collect()] == ["none"]
 
 
 def test_two_edits_in_long_words(spark):
     typos = ["lantrnwrks", "lqntermworks", "laanternworkks", "lantxrnwrks", "lanternworksab"]  # missing, changed, added, both, added behind
-    cases = {f"{t} public license 2.0": "LWPL-2.0" for t in typos} | {"lantrnwrk public license 2.0": "none", "lanternworks pblc license 2.0": "none"}
+    cases = {f"{t} public license 2.0": "LWPL-2.0" for t in [*typos, "xanternworks", "xanternxorks"]} | {"lantrnwrk public license 2.0": "none", "lanternworks pblc license 2.0": "none"}
     values = spark.createDataFrame(list(enumerate(cases)), "record_id bigint, raw string")
-    rows = canonical.map_values(values, spark.createDataFrame(LICENSES, ENTRIES), "license").collect()
+    rows = mapped(spark, values, LICENSES, "license").collect()
     assert {r.raw: r.ref_id for r in rows} == cases
+
+
+def test_more_words_than_any_name(spark):
+    """Many misspellings of a name's words are still that name."""
+    words = ["lanternworks", "lantrnworks", "lanternwrks", "lanternworkss", "lantemworks", "public", "publc", "pubblic", "licence", "license", "licens", "2.0"]
+    values = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "3.0"])), (3, " ".join([*words, "other"]))], "record_id bigint, raw string")
+    assert {r.record_id: r.ref_id for r in mapped(spark, values, LICENSES, "license").collect()} == {1: "LWPL-2.0", 2: "none", 3: "none"}
+
+
+def test_rank_decides(spark):
+    """Without the exact check the best name by soft TF-IDF comes out."""
+    cases = {"lanternwrks publc license 2": "LWPL-2.0", "harrowgate lesser community license 9": "HGLCL-2.1", "harrowgat software": "FFSG-1.0", "thornfield": "none"}
+    values = spark.createDataFrame(list(enumerate(cases)), "record_id bigint, raw string")
+    rows = mapped(spark, values, LICENSES, "license", checked=False).collect()
+    assert {r.raw: r.ref_id for r in rows} == cases
+
+
+def test_hot_value(spark):
+    values = spark.createDataFrame([(i, "lwpl 1" if i % 3 else f"x{i} lwpl 2") for i in range(300)], "record_id bigint, raw string")
+    rows = mapped(spark, values, LICENSES, "license").collect()
+    assert len(rows) == 300 and all(r.ref_id == ("LWPL-1.0" if r.record_id % 3 else "none") for r in rows)
