@@ -1,11 +1,14 @@
 """Parent-child rows of unknown depth as full hierarchies.
 
-Frontier joins start from the tops and attach, band by band, the rows whose
-chain of parents reaches an attached row. A band is as wide as all bands before
-it together (1, 2, 4, ... levels), because rows not yet attached keep the link
-that spans all levels tried so far. Depth d is therefore reached after
-log2(d) + 1 joins, and a round that attaches nothing proves that what is left
-lies on a cycle or below one.
+Frontier joins start from the tops and attach, round by round, the rows whose
+chain of parents reaches an attached row. With ``widen`` a round attaches a band of
+levels, as wide as all bands before it together (1, 2, 4, ... levels), because rows
+not yet attached keep the link that spans all levels tried so far: depth d is
+reached after log2(d) + 1 joins. Without it a round attaches one level, as the plain
+method does, and takes d joins. Either way a round that attaches nothing proves that
+what is left lies on a cycle or below one: by induction, after r rounds every row at
+a depth the rounds span (2 ** r - 1, or r) is attached, so if any row had a top above
+it, the one of them nearest to an attached row would have been attached.
 
 Only rows that have children take part in the rounds; all others hang on their
 parent by one last join.
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq.materialize import Scratch
+from strataq.skew import look_up
 
 
 def _key(text: Column) -> Column:
@@ -30,15 +34,19 @@ def _blank(text: Column) -> Column:
 
 
 def link_nodes(rows: DataFrame, row_id: str, scope: str, name: str, parent: str) -> DataFrame:
-    """Rows with scope, own key hash and parent key hash. Names compare within a
-    scope, outer spaces and letter case aside. The 64-bit hashes are compared
-    within one scope only; two names of a scope of a million rows collide with a
-    probability below 1e-7. A null name is a name of its own kind."""
+    """Rows with scope, own key (k1, k2) and parent key (p1, p2), each a 128-bit hash
+    of scope and name. Names compare within a scope, outer spaces and letter case
+    aside. A null name is a name of its own kind, rows without a scope form one."""
+
+    def key(text: Column, null: Column, which: int) -> Column:
+        return F.xxhash64(F.lit(which), F.col(scope), F.col(scope).isNull(), _key(text), null)
+
+    child, up = F.col(name), F.col(parent)
     return rows.select(
         F.col(row_id).cast("bigint").alias("row_id"),
         F.col(scope).alias("scope"),
-        F.xxhash64(_key(F.col(name)), F.col(name).isNull()).alias("key"),
-        F.when(~_blank(F.col(parent)), F.xxhash64(_key(F.col(parent)), F.lit(False))).alias("parent_key"),
+        *[key(child, child.isNull(), i).alias(f"k{i}") for i in (1, 2)],
+        *[F.when(~_blank(up), key(up, F.lit(False), i)).alias(f"p{i}") for i in (1, 2)],
     )
 
 
@@ -61,8 +69,8 @@ def _advance(state: DataFrame, waiting: DataFrame, with_path: bool) -> DataFrame
     return waiting.join(t, F.col("up") == F.col("_t")).select(*cols)
 
 
-def resolve_links(links: DataFrame, with_path: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the rows of ``link_nodes``: (row_id, node) and (node, root,
+def resolve_links(links: DataFrame, with_path: bool = False, widen: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the rows of ``link_nodes``: (k1, k2, n, node) and (node, root,
     depth[, chain]).
 
     Rows of one scope and key are one node, known by its least row_id, whose
@@ -73,23 +81,29 @@ def resolve_links(links: DataFrame, with_path: bool = False) -> tuple[DataFrame,
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
-    named = links.groupBy("scope", "key").agg(F.min("row_id").alias("node"), F.min_by("parent_key", "row_id").alias("parent_key"))
-    parents = named.select(F.col("scope").alias("_s"), F.col("key").alias("_k"), F.col("node").alias("up"))
-    # scope is compared null-safe, so rows without a scope form one of their own
-    nodes = scratch.put(named.join(parents, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("parent_key") == F.col("_k")), "left").select("scope", "key", "node", "up"))
+    named = links.groupBy("k1", "k2").agg(F.min("row_id").alias("node"), F.min_by(F.struct("p1", "p2"), "row_id").alias("p"), F.first("scope").alias("scope"), F.count("*").alias("n"))
+    named = scratch.put(named.select("k1", "k2", "node", "scope", "n", "p.*"))
+    parents = named.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("node").alias("up"))
+    nodes = scratch.put(named.join(parents, ["p1", "p2"], "left").select("k1", "k2", "node", "scope", "n", "up"))
+    scratch.drop(named)
     inner = nodes.join(nodes.select(F.col("up").alias("_p")).where("_p is not null").distinct(), F.col("node") == F.col("_p"), "left_semi")
     state = scratch.put(_segments(inner, with_path))
     attached = [state.where("done")]
     waiting = state.where("not done")
     left = waiting.count()
     kept = [state]
+    front = attached[0]
     while left:
-        moved = scratch.put(_advance(state, waiting, with_path))
+        if widen:
+            moved = scratch.put(_advance(state, waiting, with_path))
+            waiting = moved.where("not done")
+            # a pointer of a waiting row leads to an inner row; those that stay put are the tops
+            state = _all([*attached, moved.where("done")]).unionByName(waiting)
+        else:
+            moved = scratch.put(_advance(front, waiting, with_path).unionByName(waiting.join(front.select(F.col("node").alias("up")), "up", "left_anti").select(waiting.columns)))
+            waiting, front = moved.where("not done"), moved.where("done")
         kept.append(moved)
         attached.append(moved.where("done"))
-        waiting = moved.where("not done")
-        # a pointer of a waiting row leads to an inner row; those that stay put are the tops
-        state = _all(attached).unionByName(waiting)
         still = waiting.count()
         if still == left:
             break
@@ -98,8 +112,7 @@ def resolve_links(links: DataFrame, with_path: bool = False) -> tuple[DataFrame,
     if left:
         tops = tops.unionByName(_cycles(scratch, nodes, waiting, with_path))
     inner_done = scratch.put(tops)
-    for x in kept:
-        scratch.drop(x)
+    scratch.drop(*kept)
     outer = nodes.join(inner_done.select("node"), "node", "left_anti")
     lifted = outer.join(inner_done.withColumnRenamed("node", "_p"), F.col("up") == F.col("_p"), "left").select(
         "node",
@@ -134,13 +147,15 @@ def _cycles(scratch: Scratch, nodes: DataFrame, waiting: DataFrame, with_path: b
     return out.withColumn("chain", F.array().cast("array<bigint>")) if with_path else out
 
 
-def hierarchy(rows: DataFrame, row_id: str, scope: str, name: str, parent: str, with_path: bool = False) -> DataFrame:
-    """One row per input row: row_id, node, root, depth[, chain]. Empty input
-    gives an empty result. Repeated row ids are allowed: each row comes out."""
+def hierarchy(rows: DataFrame, row_id: str, scope: str, name: str, parent: str, with_path: bool = False, widen: bool = True) -> DataFrame:
+    """One row per input row: row_id, node, root, depth, has_parent[, chain]. Empty
+    input gives an empty result. Repeated row ids are allowed: each row comes out.
+    A name that a third of all rows have is looked up by a broadcast of its node."""
     links = link_nodes(rows, row_id, scope, name, parent)
-    nodes, solved = resolve_links(links, with_path)
-    numbered = nodes.join(solved, "node").select(F.col("scope").alias("_s"), F.col("key").alias("_k"), "node", "root", "depth", *(["chain"] if with_path else []))
-    return links.join(numbered, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k"))).select("row_id", "node", "root", "depth", "parent_key", *(["chain"] if with_path else []))
+    nodes, solved = resolve_links(links, with_path, widen)
+    chain = ["chain"] if with_path else []
+    numbered = Scratch(rows.sparkSession, "numbered").put(nodes.join(solved, "node").select("k1", "k2", "n", "node", "root", "depth", *chain))
+    return look_up(links, numbered, ["k1", "k2"], "n").select("row_id", "node", "root", "depth", F.col("p1").isNotNull().alias("has_parent"), *chain)
 
 
 def descendants(solved: DataFrame) -> DataFrame:

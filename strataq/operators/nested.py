@@ -159,6 +159,8 @@ def report_shapes(reports: DataFrame) -> DataFrame:
     v = F.col("_doc")
     text = lambda x, path: F.try_variant_get(x, path, "string")
     body = lambda x: F.to_json(x)
+    # the fields of an object but for those that become nodes of their own
+    rest = lambda x, path, *own: F.to_json(F.map_filter(F.try_variant_get(x, path, "map<string,variant>"), lambda k, _: ~k.isin(*own)))
 
     def rule(x: Column) -> Column:
         return F.when(x.isNotNull(), F.struct(text(x, "$.id").alias("rule_id"), body(x).alias("body")))
@@ -168,14 +170,16 @@ def report_shapes(reports: DataFrame) -> DataFrame:
         ids = F.transform(rules, lambda r: F.coalesce(text(r, "$.id"), F.lit("￾")))
         place = F.coalesce(F.array_position(ids, own) - 1, F.lit(-1).cast("bigint"))
         locations = F.transform(members(x, "$.locations"), lambda y: F.when(y.isNotNull(), F.struct(body(y).alias("body"))))
-        return F.when(x.isNotNull(), F.struct(own.alias("rule_id"), place.alias("rule_place"), body(x).alias("body"), locations.alias("locations")))
+        return F.when(x.isNotNull(), F.struct(own.alias("rule_id"), place.alias("rule_place"), rest(x, "$", "locations").alias("body"), locations.alias("locations")))
 
     def run(x: Column) -> Column:
+        # what a run says besides its rules and results, at each level that holds them
+        levels = F.array_compact(F.array(rest(x, "$", "results", "tool"), rest(x, "$.tool", "driver"), rest(x, "$.tool.driver", "rules")))
         return F.when(
             x.isNotNull(),
             _let(
                 members(x, "$.tool.driver.rules"),
-                lambda rules: F.struct(F.transform(rules, rule).alias("rules"), F.transform(members(x, "$.results"), lambda r: result(r, rules)).alias("results")),
+                lambda rules: F.struct(F.transform(rules, rule).alias("rules"), F.transform(members(x, "$.results"), lambda r: result(r, rules)).alias("results"), levels.alias("body")),
             ),
         )
 

@@ -14,7 +14,7 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = hierarchy.hierarchy(_t(spark, sf, "dependency"), "dep_id", "scan_id", "name", "parent")
-    return rows.where("parent_key is not null").select(F.col("row_id").alias("dep_id"), F.col("root").alias("root_id"), F.col("depth").alias("node_depth"))
+    return rows.where("has_parent").select(F.col("row_id").alias("dep_id"), F.col("root").alias("root_id"), F.col("depth").alias("node_depth"))
 
 
 def p4_paths(spark: SparkSession, sf: str) -> DataFrame:

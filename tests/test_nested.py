@@ -89,3 +89,14 @@ def test_payloads_wrapped_many_times(spark):
     a = spark.createDataFrame([], "analysis_id bigint, crypto array<struct<call_path: array<string>, traces: array<struct<call_steps: array<string>>>>>")
     got = sorted(map(tuple, nested.flat_positions(a, spark.createDataFrame(rows, REPORTS)).collect()))
     assert got == [("sarif_rule", n, 0, 0, -1) for n in range(11)]
+
+
+def test_runs_that_differ_outside_their_lists(spark):
+    """Two runs with equal rules and results are two objects if their tools differ."""
+    run = lambda name: {"tool": {"driver": {"name": name, "rules": [{"id": "r"}]}}, "results": [{"ruleId": "r", "locations": [{"x": 1}]}]}
+    rows = [(1, json.dumps({"runs": [run("a"), run("b"), run("a")]})), (2, json.dumps({"runs": [run("b")]}))]
+    forest = nested.report_forest(spark.createDataFrame(rows, "report_id bigint, payload string"))
+    kinds = [r.kind for r in forest.nodes.collect()]
+    assert {k: kinds.count(k) for k in set(kinds)} == {"run": 2, "rule": 1, "result": 1, "location": 1}
+    body = [json.loads(r.content)["body"] for r in forest.nodes.where("kind = 'run'").collect()]
+    assert sorted(json.loads(b[-1])["name"] for b in body) == ["a", "b"]
