@@ -79,16 +79,16 @@ def algorithm_key(alg: Column) -> Column:
 def remediation_key(alg: Column) -> Column:
     """Remediation entry of an algorithm: the exact name, else the first pattern
     its upper-case form contains, else 'default'."""
-    keys = dict.fromkeys(k for _, k in dims.remediation_patterns())
+    keys = dict.fromkeys(k for _, k in dims.REMEDIATION_PATTERNS)
     upper = F.upper(F.trim(alg))
-    return F.when(alg.isin(*keys), alg).otherwise(first_match(lambda p: upper.contains(p), dims.remediation_patterns(), F.lit("default")))
+    return F.when(alg.isin(*keys), alg).otherwise(first_match(lambda p: upper.contains(p), dims.REMEDIATION_PATTERNS, F.lit("default")))
 
 
 def import_match(path: Column, ecosystem: Column) -> Column:
     """The first import pattern that equals the path or begins it up to a slash."""
     chain = None
     for eco in dims.IMPORT_PATTERNS:
-        one = first_match(lambda p: (path == p) | path.startswith(p + "/"), [(p, p) for p, _ in dims.import_patterns(eco)])
+        one = first_match(lambda p: (path == p) | path.startswith(p + "/"), [(p, p) for p, _ in dims.IMPORT_PATTERNS.get(eco, ())])
         chain = F.when(ecosystem == eco, one) if chain is None else chain.when(ecosystem == eco, one)
     return chain
 

@@ -60,16 +60,15 @@ def roll_up(summary: DataFrame, *keys: str) -> DataFrame:
 
 
 def exit_code(threshold: str = "vulnerable") -> Column:
-    """0 nothing to report, 1 vulnerable, 2 partial, 3 any cryptography."""
+    """0 nothing to report, 1 vulnerable, 3 partial; with 'any' also 3 for other
+    cryptography. 2 is for errors, which no row stands for."""
     v, p, c = F.col("vulnerable") > 0, F.col("partial") > 0, F.col("with_crypto") > 0
-    if threshold == "none":
+    if threshold.lower() == "none":
         return F.lit(0)
+    if threshold.lower() == "any":
+        return F.when(~c, 0).when(v, 1).otherwise(3)
     code = F.when(v, 1)
-    if threshold in ("partial", "any"):
-        code = code.when(p, 2)
-    if threshold == "any":
-        code = code.when(c, 3)
-    return code.otherwise(0)
+    return (code.when(p, 3) if threshold.lower() == "partial" else code).otherwise(0)
 
 
 def hints(deep: bool = False) -> Column:

@@ -88,4 +88,12 @@ SELECT r.dep_id, z.root AS root_id, z.d::BIGINT AS node_depth
 FROM r JOIN n ON n.scan_id = r.scan_id AND n.k = r.k JOIN z ON z.id = n.id WHERE r.p IS NOT NULL
 """
 
-ORACLE = {"p6_found": _CLEAN6, "p4_found": _P4}
+_NODES = _P4[: _P4.index("SELECT r.dep_id")]
+_P4_PATHS = _NODES.replace("SELECT id, id AS root, 0 AS d FROM e", "SELECT id, id AS root, 0 AS d, id::VARCHAR AS path FROM e").replace("SELECT e.id, t.root, t.d + 1 FROM e", "SELECT e.id, t.root, t.d + 1, t.path || '/' || e.id FROM e").replace("SELECT id, root, d FROM t UNION ALL SELECT id, root, -1 FROM q", "SELECT id, root, d, path FROM t UNION ALL SELECT id, root, -1, 'cycle' FROM q") + """
+SELECT r.dep_id, z.id AS node, z.root, z.d::BIGINT AS depth, z.path FROM r JOIN n ON n.scan_id = r.scan_id AND n.k = r.k JOIN z ON z.id = n.id
+"""
+_P4_PAIRS = _NODES + """, a AS (SELECT e.up AS ancestor, e.id AS node, 1 AS links FROM e JOIN t ON t.id = e.id WHERE e.up IS NOT NULL UNION ALL SELECT e.up, a.node, a.links + 1 FROM a JOIN e ON e.id = a.ancestor WHERE e.up IS NOT NULL)
+SELECT ancestor, node, links::BIGINT AS links FROM a
+"""
+
+ORACLE = {"p6_found": _CLEAN6, "p4_found": _P4, "p4_paths": _P4_PATHS, "p4_descendants": _P4_PAIRS}

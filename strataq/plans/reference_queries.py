@@ -206,11 +206,23 @@ def call_reachability(spark: SparkSession, sf: str) -> DataFrame:
     return reachability.classify_findings(found, reachability.distances(edges, entries)).select("usage_id", "reached", "nodes_on_path")
 
 
+def reachability_counts(spark: SparkSession, sf: str) -> DataFrame:
+    edges, entries, found = _calls(spark, sf)
+    return reachability.count_classes(reachability.classify_findings(found, reachability.distances(edges, entries)), "graph").withColumnRenamed("graph", "package")
+
+
+def crypto_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Entry points that reach a function with a finding, and the nodes on the path."""
+    edges, entries, found = _calls(spark, sf)
+    t = reachability.traces(edges, entries, found.select("graph", "node"))
+    return t.select(F.col("graph").alias("package"), "entry_point", "target_func", "target_pkg", F.size("call_steps").cast("bigint").alias("nodes_on_path"))
+
+
 def source_uses(spark: SparkSession, sf: str) -> DataFrame:
     d = _t(spark, sf, "documents").where("doc_kind = 'source_file'")
     out = None
     for language in detect.LANGUAGES:
-        one = detect.detect(d, language, "doc_id").select("doc_id", F.lit(language).alias("language"), "line_no", "family", "algorithm")
+        one = detect.usages(d, language, "doc_id").select("doc_id", F.lit(language).alias("language"), "line_no", "family", "algorithm", "function", "risk")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -220,14 +232,14 @@ def source_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_scopes(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.scopes(_t(spark, sf, "documents").where("doc_kind = 'source_file' and text is not null"), "doc_id")
+    return detect.scopes(_t(spark, sf, "documents").where("doc_kind = 'source_file' and text is not null"), "python", "doc_id").select("doc_id", "line_no", "function", "exported")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         scan_summary, portfolio_summary, scan_findings, classified_usages, remediation_keys, import_matches, clean_versions, requirement_lines, go_mod_dependencies, go_mod_left_out, discovered_manifests, preferred_manifests, crypto_packages, package_risk,
-        ranked_findings, kb_stats, kb_export, kb_merge, inferred_algorithms, deduped_usages, available_algorithms, sarif_rules, cbom_components, report_documents, call_reachability, source_uses, source_depth, source_scopes,
+        ranked_findings, kb_stats, kb_export, kb_merge, inferred_algorithms, deduped_usages, available_algorithms, sarif_rules, cbom_components, report_documents, call_reachability, reachability_counts, crypto_traces, source_uses, source_depth, source_scopes,
     )
 }
 
@@ -247,18 +259,28 @@ f AS (SELECT j.scan_id, j.dep_id AS dep_seq, o.i::INT AS usage_seq, CASE WHEN co
 _RANK = "CASE {0} WHEN 'VULNERABLE' THEN 3 WHEN 'PARTIAL' THEN 2 WHEN 'SAFE' THEN 1 ELSE 0 END"
 _LEVEL = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END"
 _REMEDY = "CASE WHEN algorithm IN ({0}) THEN algorithm {1} ELSE 'default' END".format(
-    ", ".join(f"'{k}'" for k in dict.fromkeys(k for _, k in dims.remediation_patterns())),
-    " ".join(f"WHEN contains(upper(trim(algorithm)), '{p}') THEN '{k}'" for p, k in dims.remediation_patterns()),
+    ", ".join(f"'{k}'" for k in dict.fromkeys(k for _, k in dims.REMEDIATION_PATTERNS)),
+    " ".join(f"WHEN contains(upper(trim(algorithm)), '{p}') THEN '{k}'" for p, k in dims.REMEDIATION_PATTERNS),
 )
 _DIM = "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in dims.algorithm_rows()) + ") t(key, alg_name, alg_type, risk, severity)"
-_PATTERNS = "(VALUES " + ", ".join(f"('{e}', '{p}', {i})" for e in dims.IMPORT_PATTERNS for i, (p, _) in enumerate(dims.import_patterns(e))) + ") p(ecosystem, pattern, ord)"
+_PATTERNS = "(VALUES " + ", ".join(f"('{e}', '{p}', {i})" for e in dims.IMPORT_PATTERNS for i, (p, _) in enumerate(dims.IMPORT_PATTERNS[e])) + ") p(ecosystem, pattern, ord)"
 _IS_MANIFEST = "split_part(manifest, '/', -1) IN ({0}) AND len(list_filter(string_split(manifest, '/')[:-2], lambda x: x IN ({1}) OR (starts_with(x, '.') AND x NOT IN ('.', '..')))) = 0".format(
     ", ".join(f"'{n}'" for n in dims.MANIFEST_NAMES if n != "go.work"), ", ".join(f"'{n}'" for n in dims.SKIP_DIRS)
 )
 
+_GO = r"""WITH b AS (SELECT scan_id, dep_id, direct, regexp_replace(name, '^\s+|\s+$', '', 'g') AS name, regexp_replace(version, '^\s+|\s+$', '', 'g') AS version FROM dependency WHERE lower(trim(ecosystem, ' ')) = 'go'),
+d AS (SELECT *, CASE WHEN coalesce(name, '') = '' THEN 'no name' WHEN coalesce(version, '') = '' THEN 'no version' WHEN regexp_matches(name, '\s') THEN 'blank in name' WHEN regexp_matches(version, '\s') THEN 'blank in version'
+ WHEN regexp_matches(name, '^(//|\)|require\(|(require|module|go|toolchain)$)') OR contains(version, '=>') THEN 'other meaning in go.mod' END AS reason FROM b)"""
+_CALLS = """WITH RECURSIVE u AS (SELECT usage_id, package AS g, call_path AS p, call_path[-1] AS node, in_exported FROM crypto_usage WHERE package IS NOT NULL),
+e AS (SELECT DISTINCT g, p[i] AS a, p[i + 1] AS b FROM u, unnest(range(1, len(p))) t(i) WHERE p[i] IS NOT NULL AND p[i + 1] IS NOT NULL),
+s AS (SELECT DISTINCT g, p[1] AS node FROM u WHERE in_exported AND len(p) > 0 AND p[1] IS NOT NULL),
+r AS (SELECT g, node, 1 AS n FROM s UNION SELECT e.g, e.b, r.n + 1 FROM r JOIN e ON e.g = r.g AND e.a = r.node WHERE r.n < 40),
+m AS (SELECT g, node, min(n)::BIGINT AS n FROM r GROUP BY ALL)"""
+_REACHED = "CASE WHEN m.n IS NULL THEN 'AVAILABLE' WHEN m.n <= 2 THEN 'CONFIRMED' ELSE 'REACHABLE' END"
+
 ORACLE = {
     "scan_summary": f"""WITH {_KB}, s AS (SELECT scan_id, {_SUMS} FROM j LEFT JOIN c ON c.seq = j.seq GROUP BY scan_id)
-SELECT *, CASE WHEN vulnerable > 0 THEN 1 WHEN partial > 0 THEN 2 WHEN with_crypto > 0 THEN 3 ELSE 0 END AS exit_code,
+SELECT *, CASE WHEN with_crypto = 0 THEN 0 WHEN vulnerable > 0 THEN 1 ELSE 3 END AS exit_code,
  concat_ws(',', CASE WHEN not_in_database > 0 AND (not_in_database * 2 >= total OR (with_crypto = 0 AND not_in_database > 5)) THEN 'deep:' || round_even(not_in_database * 100.0 / total, 0)::BIGINT END,
    CASE WHEN with_crypto = 0 AND total > 0 AND not_in_database = total THEN 'unknown' END) AS hints FROM s""",
     "portfolio_summary": f"""WITH {_KB}, s AS (SELECT project, scan_id, {_SUMS} FROM j LEFT JOIN c ON c.seq = j.seq GROUP BY ALL)
@@ -267,14 +289,15 @@ SELECT project, count(*) AS scans, {", ".join(f"sum({c})::BIGINT AS {c}" for c i
     "classified_usages": f"""SELECT usage_id, algorithm, coalesce(t.alg_name, algorithm) AS alg_name, coalesce(t.alg_type, 'unknown') AS alg_type, coalesce(t.risk, 'UNKNOWN') AS risk, coalesce(t.severity, 'INFO') AS severity
 FROM crypto_usage u LEFT JOIN {_DIM} ON t.key = lower(replace(u.algorithm, '_', '-')) WHERE algorithm IS NOT NULL""",
     "remediation_keys": f"SELECT DISTINCT algorithm, {_REMEDY} AS remediation FROM crypto_usage WHERE algorithm IS NOT NULL",
-    "import_matches": f"""WITH x AS (SELECT DISTINCT pattern || s AS path FROM {_PATTERNS}, unnest(['', '/x', 'x']) q(s)), e AS (SELECT DISTINCT ecosystem FROM {_PATTERNS})
-SELECT path, e.ecosystem, arg_min(p.pattern, p.ord) AS pattern FROM x, e JOIN {_PATTERNS} ON p.ecosystem = e.ecosystem WHERE path = p.pattern OR starts_with(path, p.pattern || '/') GROUP BY ALL""",
-    "requirement_lines": r"""WITH l AS (SELECT dep_id, trim(split_part(split_part(trim(name || '[extra]==' || coalesce(version, '') || ' ; python_version > ''3'' # pinned', ' '), '#', 1), ';', 1), ' ') AS b, trim(name, ' ') AS n FROM dependency WHERE ecosystem = 'pypi')
+    "import_matches": "WITH x AS (" + " UNION ".join(f"SELECT trim({c}, ' ') AS path, lower(trim(ecosystem, ' ')) AS ecosystem FROM {t}" for t, c in _NAMED.items()) + f"""), m AS (SELECT x.path, x.ecosystem, arg_min(p.pattern, p.ord) AS pattern
+FROM x JOIN {_PATTERNS} ON p.ecosystem = x.ecosystem WHERE x.path = p.pattern OR starts_with(x.path, p.pattern || '/') GROUP BY ALL) SELECT * FROM m""",
+    "requirement_lines": r"""WITH l AS (SELECT dep_id, trim(split_part(split_part(trim(name || '[extra]==' || coalesce(version, '') || ' ; python_version > ''3'' # pinned', ' '), '#', 1), ';', 1), ' ') AS b, trim(name, ' ') AS n FROM dependency WHERE lower(trim(ecosystem, ' ')) = 'pypi')
 SELECT dep_id, regexp_extract(b, '^([a-zA-Z0-9_-]+)(?:\[[^\]]*\])?(.*)$', 1) AS req_name,
  trim(regexp_replace(trim(regexp_extract(b, '^([a-zA-Z0-9_-]+)(?:\[[^\]]*\])?(.*)$', 2), ' '), '^(==|>=|<=|~=|!=|>|<)', ''), ' ') AS req_version
 FROM l WHERE b <> '' AND NOT regexp_matches(n, '^[#-]') AND regexp_matches(b, '^[a-zA-Z0-9_-]+(?:\[[^\]]*\])?.*$')""",
-    "go_mod_dependencies": r"""WITH d AS (SELECT scan_id, dep_id, name, version, coalesce(direct, false) AS direct FROM dependency WHERE ecosystem = 'go' AND regexp_matches(name, '^[a-z0-9./-]+$') AND regexp_matches(version, '^[0-9.]+$'))
-SELECT scan_id || '/go.mod' AS path, row_number() OVER w - 1 AS seq, name, 'v' || version AS version, NOT bool_or(NOT direct) OVER (PARTITION BY scan_id ORDER BY dep_id) AS direct FROM d WINDOW w AS (PARTITION BY scan_id ORDER BY dep_id)""",
+    "go_mod_dependencies": _GO + r""", g AS (SELECT scan_id, dep_id, name, 'v' || regexp_replace(version, '^[vV]', '') AS version, coalesce(direct, false) AS direct FROM d WHERE reason IS NULL)
+SELECT scan_id || '/go.mod' AS path, row_number() OVER w - 1 AS seq, name, version, NOT bool_or(NOT direct) OVER (PARTITION BY scan_id ORDER BY dep_id) AS direct FROM g WINDOW w AS (PARTITION BY scan_id ORDER BY dep_id)""",
+    "go_mod_left_out": _GO + " SELECT scan_id, dep_id, name, version, reason FROM d WHERE reason IS NOT NULL",
     "discovered_manifests": f"SELECT DISTINCT project, manifest AS path FROM dependency WHERE {_IS_MANIFEST}",
     "preferred_manifests": f"""WITH m AS (SELECT DISTINCT project, manifest AS path, list_position([{", ".join(f"'{n}'" for n in dims.MANIFEST_PRIORITY)}], split_part(manifest, '/', -1)) AS p,
  CASE WHEN contains(manifest, '/') THEN regexp_extract(manifest, '^(.*)/[^/]*$', 1) ELSE '.' END AS folder FROM dependency WHERE {_IS_MANIFEST})
@@ -292,12 +315,30 @@ SELECT info_id, alg_name AS algorithm, alg_type AS type, min(rule_no)::INT AS ru
     "sarif_rules": _FIND + f""", g AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY scan_id, algorithm) AS results FROM f WINDOW w AS (PARTITION BY scan_id, algorithm ORDER BY dep_seq, usage_seq))
 SELECT scan_id, 'CRYPTO-' || algorithm AS rule_id, label || ' uses ' || algorithm AS description, {_LEVEL} AS level, results FROM g WHERE rn = 1""",
     "cbom_components": _FIND + " SELECT scan_id, dep_seq, usage_seq, 'cryptographic-asset' AS component_type, algorithm AS component_name, coalesce(usage_type, '') AS primitive, label FROM f",
-    "call_reachability": """WITH RECURSIVE u AS (SELECT usage_id, package AS g, call_path AS p, call_path[-1] AS node, in_exported FROM crypto_usage WHERE package IS NOT NULL),
-e AS (SELECT DISTINCT g, p[i] AS a, p[i + 1] AS b FROM u, unnest(range(1, len(p))) t(i) WHERE p[i] IS NOT NULL AND p[i + 1] IS NOT NULL),
-s AS (SELECT DISTINCT g, p[1] AS node FROM u WHERE in_exported AND len(p) > 0 AND p[1] IS NOT NULL),
-r AS (SELECT g, node, 1 AS n FROM s UNION SELECT e.g, e.b, r.n + 1 FROM r JOIN e ON e.g = r.g AND e.a = r.node WHERE r.n < 40),
-m AS (SELECT g, node, min(n)::BIGINT AS n FROM r GROUP BY ALL)
-SELECT usage_id, CASE WHEN m.n IS NULL THEN 'AVAILABLE' WHEN m.n <= 2 THEN 'CONFIRMED' ELSE 'REACHABLE' END AS reached, m.n AS nodes_on_path FROM u LEFT JOIN m ON m.g = u.g AND m.node = u.node WHERE u.node IS NOT NULL""",
+    "call_reachability": _CALLS + f""" SELECT usage_id, {_REACHED} AS reached, m.n AS nodes_on_path FROM u LEFT JOIN m ON m.g = u.g AND m.node = u.node WHERE u.node IS NOT NULL""",
+    "reachability_counts": _CALLS + f""", c AS (SELECT u.g, {_REACHED} AS reached FROM u LEFT JOIN m ON m.g = u.g AND m.node = u.node WHERE u.node IS NOT NULL)
+SELECT g AS package, count(*) FILTER (reached = 'CONFIRMED') AS confirmed, count(*) FILTER (reached = 'REACHABLE') AS reachable, count(*) FILTER (reached = 'AVAILABLE') AS available FROM c GROUP BY g""",
+    "crypto_traces": _CALLS + r""", t AS (SELECT g, node AS entry, node, 1 AS n FROM s UNION SELECT e.g, t.entry, e.b, t.n + 1 FROM t JOIN e ON e.g = t.g AND e.a = t.node WHERE t.n < 40)
+SELECT t.g AS package, t.entry AS entry_point, t.node AS target_func, CASE WHEN contains(t.node, '.') THEN regexp_extract(t.node, '^(.*)\.[^.]*$', 1) ELSE '' END AS target_pkg, min(t.n)::BIGINT AS nodes_on_path
+FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.g = t.g AND u.node = t.node) GROUP BY t.g, t.entry, t.node""",
     "source_depth": r"""WITH l AS (SELECT doc_id, p.i AS line_no, regexp_split_to_array(text, '\r?\n')[p.i] AS l FROM documents, unnest(range(1, len(regexp_split_to_array(text, '\r?\n')) + 1)) p(i) WHERE doc_kind = 'source_file' AND text IS NOT NULL)
 SELECT doc_id, line_no, sum(length(regexp_replace(l, '[^{]', '', 'g')) - length(regexp_replace(l, '[^}]', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS depth FROM l""",
+    "clean_versions": r"""WITH d AS (SELECT dep_id, version AS v, ['^', '~', '>=', '> ', '', '<='][(dep_id % 6 + 1)::INT] || version || CASE WHEN dep_id % 4 = 0 THEN ' - 9.0' WHEN dep_id % 4 = 1 THEN ' || 8.0' ELSE '' END AS r FROM dependency WHERE version IS NOT NULL),
+b AS (SELECT dep_id, v, regexp_replace(trim(r, ' '), '^\^?~?(>=)?>?(<=)?<?=?', '') AS x FROM d),
+f AS (SELECT dep_id, v, CASE WHEN contains(x, ' - ') THEN trim(string_split(x, ' - ')[1], ' ') ELSE x END AS x FROM b)
+SELECT dep_id, CASE WHEN contains(x, ' || ') THEN trim(string_split(x, ' || ')[1], ' ') ELSE x END AS npm, trim(string_split(trim(v || ' => ./local', ' '), '=>')[1], ' ') AS go FROM f""",
+    # the fold as a walk: each row of a group either keeps what is held or replaces it
+    "deduped_usages": f"""WITH RECURSIVE a AS (SELECT package, file_path, line_no, upper(coalesce(t.alg_name, algorithm)) AS alg, usage_id, algorithm, func_name, CASE WHEN call_path IS NULL THEN 0 ELSE len(call_path) END AS steps FROM crypto_usage u LEFT JOIN {_DIM} ON t.key = lower(replace(u.algorithm, '_', '-')) WHERE algorithm IS NOT NULL),
+n AS (SELECT dense_rank() OVER (ORDER BY package NULLS FIRST, file_path NULLS FIRST, line_no NULLS FIRST, alg) AS g, * FROM a), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY usage_id, algorithm, func_name NULLS FIRST) AS k, count(*) OVER (PARTITION BY g) AS merged FROM n),
+w AS (SELECT g, k, usage_id, algorithm, func_name, steps FROM o WHERE k = 1 UNION ALL
+ SELECT o.g, o.k, CASE WHEN b THEN o.usage_id ELSE w.usage_id END, CASE WHEN b THEN o.algorithm ELSE w.algorithm END, CASE WHEN b THEN o.func_name ELSE w.func_name END, CASE WHEN b THEN o.steps ELSE w.steps END
+ FROM w JOIN o ON o.g = w.g AND o.k = w.k + 1, LATERAL (SELECT o.steps > w.steps OR (coalesce(w.func_name, '') = '' AND coalesce(o.func_name, '') <> '') AS b))
+SELECT o.package, o.file_path, o.line_no, w.usage_id, w.algorithm, w.func_name, o.merged FROM w JOIN o ON o.g = w.g AND o.k = w.k WHERE w.k = o.merged""",
+    # per line, the last definition before it with a smaller indent than every line since
+    "source_scopes": r"""WITH f AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS ls FROM documents WHERE doc_kind = 'source_file' AND text IS NOT NULL), l AS (SELECT doc_id, p.i AS n, ls[p.i] AS l FROM f, unnest(range(1, len(ls) + 1)) p(i)),
+x AS (SELECT *, regexp_matches(l, '^\s*(#|$)') AS blank, length(replace(regexp_extract(l, '^([ \t]*)', 1), chr(9), '    ')) AS ind, nullif(regexp_extract(l, '^(\s*)class\s+(\w+)', 2), '') AS cls, nullif(regexp_extract(l, '^(\s*)(?:async\s+)?def\s+(\w+)\s*\(', 2), '') AS fn FROM l),
+h AS (SELECT x.doc_id, x.n, x.cls, x.fn, (SELECT min(y.n) FROM x y WHERE y.doc_id = x.doc_id AND y.n > x.n AND NOT y.blank AND y.ind <= x.ind) AS until FROM x WHERE NOT blank AND (cls IS NOT NULL OR fn IS NOT NULL)),
+c AS (SELECT d.doc_id, d.n, d.fn, d.until, (SELECT arg_max(k.cls, k.n) FROM h k WHERE k.doc_id = d.doc_id AND k.cls IS NOT NULL AND k.n <= d.n AND (k.until IS NULL OR k.until > d.n)) AS cls FROM h d WHERE d.fn IS NOT NULL),
+t AS (SELECT x.doc_id, x.n, (SELECT arg_max({'f': CASE WHEN c.cls IS NULL THEN c.fn ELSE c.cls || '.' || c.fn END, 'e': NOT starts_with(c.fn, '_')}, c.n) FROM c WHERE c.doc_id = x.doc_id AND c.n <= x.n AND (c.until IS NULL OR c.until > x.n)) AS o FROM x)
+SELECT doc_id, n AS line_no, coalesce(o.f, '') AS function, coalesce(o.e, false) AS exported FROM t""",
 }

@@ -31,3 +31,41 @@ def test_call_graph_of_a_module(spark):
     assert {(r.node, r.algorithm) for r in crypto.collect()} == {("example.org/m.main", "RSA"), ("example.org/m.unused", "RS256"), ("example.org/m/util.lower", "SHA-256")}
     got = {r.algorithm: r.reached for r in reachability.classify_findings(crypto, reachability.distances(edges, entries)).collect()}
     assert got == {"RSA": "CONFIRMED", "RS256": "AVAILABLE", "SHA-256": "REACHABLE"}
+    found = reachability.traces(edges, entries, crypto)
+    t = {(r.algorithm, r.entry_point): (list(r.call_steps), r.target_pkg) for r in found.collect()}
+    u = "example.org/m/util"
+    assert t == {
+        ("RSA", "example.org/m.main"): (["example.org/m.main"], "example.org/m"),
+        ("SHA-256", "example.org/m.main"): (["example.org/m.main", "example.org/m.helper", f"{u}.Deep", f"{u}.low", f"{u}.lower"], u),
+        ("SHA-256", f"{u}.Deep"): ([f"{u}.Deep", f"{u}.low", f"{u}.lower"], u),
+    }
+    findings = spark.createDataFrame([("RSA",), ("SHA-256",), ("sha-256",)], "algorithm string")
+    assert {r.algorithm: (r.reached, r.traces) for r in reachability.classify_by_algorithm(findings, found).collect()} == {"RSA": ("CONFIRMED", 1), "SHA-256": ("REACHABLE", 2), "sha-256": ("AVAILABLE", 0)}
+
+
+USES = '''package p
+
+import (
+	"crypto/des"
+	"crypto/elliptic"
+	"crypto/hmac"
+	r "crypto/rsa"
+	"crypto/sha256"
+)
+
+var h = sha256.New()
+
+func (t *T) Enc(k r.PublicKey) { des.NewTripleDESCipher(nil); elliptic.P384() }
+
+func low() { hmac.New(h, nil); _ = r.PrivateKey{}; x.New() }
+'''
+
+
+def test_go_uses(spark):
+    files = spark.createDataFrame([("a.go", USES), ("n.go", None)], "path string, text string")
+    got = sorted((r.line_no, r.algorithm, r.function, r.exported) for r in gosource.go_uses(files).collect())
+    assert got == [(11, "SHA-256", "", False), (11, "SHA-256", "", False), (13, "3DES", "(*T).Enc", True), (13, "3DES", "(*T).Enc", True), (13, "P-384", "(*T).Enc", True), (13, "RSA", "(*T).Enc", True), (15, "RSA", "low", False)]
+
+
+def test_signing_constants():
+    assert gosource.SIGNING["SigningMethodEdDSA"] == "Ed25519" and len(gosource.SIGNING) == 13

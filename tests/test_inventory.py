@@ -23,7 +23,7 @@ def test_lookup_falls_back_to_the_entry_written_last(spark):
 def test_summary_counts_dependencies_once(spark):
     s = inventory.summarise(found(spark), "scan_id").withColumn("any", inventory.exit_code("any")).withColumn("vul", inventory.exit_code()).withColumn("hint", inventory.hints())
     got = {r.scan_id: tuple(r)[1:] for r in s.collect()}
-    assert got == {1: (3, 2, 2, 0, 4, 1, 2, 0, ""), 2: (2, 2, 1, 0, 0, 0, 3, 0, ""), 3: (1, 0, 0, 0, 0, 1, 0, 0, "deep:100,unknown")}
+    assert got == {1: (3, 2, 2, 0, 4, 1, 3, 0, ""), 2: (2, 2, 1, 0, 0, 0, 3, 0, ""), 3: (1, 0, 0, 0, 0, 1, 0, 0, "deep:100,unknown")}
     total = inventory.roll_up(s).first()
     assert (total.total, total.partial, total.scans) == (6, 4, 3)
 
@@ -81,12 +81,56 @@ def test_detectors(spark):
     got = sorted((r.line_no, r.family, r.algorithm) for r in detect.detect(spark.createDataFrame([("j", JS)], "path string, text string"), "javascript").collect())
     assert got == [(1, "crypto", "SHA-512"), (2, "bcrypt", "bcrypt"), (2, "jwt", "HS384"), (3, "cryptojs", "3DES")]
     got = sorted((r.line_no, r.family, r.algorithm) for r in detect.detect(spark.createDataFrame([("j", JAVA)], "path string, text string"), "java").collect())
-    assert got == [(2, "Cipher", "AES-GCM"), (3, "MessageDigest", "SHA-256"), (4, "bouncycastle", "BCrypt"), (4, "spring", "bcrypt"), (5, "KeyFactory", "PBKDF2"), (5, "SecretKeyFactory", "PBKDF2")]
+    assert got == [(2, "Cipher", "AES-GCM"), (2, "Cipher call", "AES"), (3, "MessageDigest call", "SHA-256"), (4, "bouncycastle", "BCrypt"), (4, "spring", "bcrypt"), (5, "KeyFactory", "PBKDF2"), (5, "SecretKeyFactory", "PBKDF2")]
+
+
+NAMES = {
+    "SHA256withDSA": "DSA", "PBKDF2WithHmacSHA256": "PBKDF2", "PBEWithMD5AndDES": "DES", "AES/ECB/PKCS5Padding": "AES-ECB", "RSA/ECB/OAEPWithSHA-256AndMGF1Padding": "RSA-OAEP", "SHA1": "SHA-1", "EC": "ECDSA", "XDH": "X25519",
+    "AES_256/GCM/NoPadding": "AES-GCM", "NONEwithRSA": "RSA", "sha-512": "SHA-512", "HmacSHA1": "HMAC-SHA1", "DESede/ECB/NoPadding": "3DES", "Weird": "Weird",
+}
+
+
+def test_java_names(spark):
+    df = spark.createDataFrame([(k,) for k in NAMES], "name string")
+    assert {r.name: r.a for r in df.withColumn("a", detect.java_algorithm(F.col("name"))).collect()} == NAMES
+
+
+def test_javascript_and_python_names(spark):
+    js = {"crypto.createHash('sha3-256')": "SHA3-256", "crypto.createCipheriv('des-ede3-cbc', k)": "3DES", "crypto.createCipheriv('aes-256-gcm', k)": "AES-256-GCM", "crypto.createCipheriv('unknown', k)": None, "crypto.generateKeyPair('ec', o)": "ECDSA", "crypto.createHash(x)": "SHA-256", "crypto.createSign('RSA-SHA256')": "RSA"}
+    df = spark.createDataFrame([(k, k) for k in js], "path string, text string")
+    got = {r.path: r.algorithm for r in detect.detect(df, "javascript").collect()}
+    assert got == {k: v for k, v in js.items() if v}
+    py = spark.createDataFrame([("a", "k = serialization.load_rsa(x)"), ("b", "jwt.decode(t, 'EdDSA')"), ("c", "nacl.secret.SecretBox(k)")], "path string, text string")
+    assert {(r.path, r.algorithm) for r in detect.detect(py, "python").collect()} == {("a", "RSA"), ("b", "EDDSA"), ("b", "DSA"), ("c", "X25519")}
+
+
+def test_java_hints(spark):
+    text = "public class AesTool {\n  public void run() {\n    Cipher.getInstance(name);\n  }\n}\nclass B {\n  void go() {\n    Mac.getInstance(hmacName);\n  }\n}"
+    rows = detect.detect(spark.createDataFrame([("src/Plain.java", text), ("src/Blowfish.java", text)], "path string, text string"), "java").collect()
+    assert sorted((r.path, r.line_no, r.algorithm, r.function, r.exported) for r in rows) == [
+        ("src/Blowfish.java", 3, "AES", "AesTool.run", True),
+        ("src/Blowfish.java", 8, "Blowfish", "B.go", False),
+        ("src/Plain.java", 3, "AES", "AesTool.run", True),
+        ("src/Plain.java", 8, "HMAC", "B.go", False),
+    ]
+
+
+def test_on_demand(spark):
+    go = 'package p\n\nimport "crypto/md5"\n\nfunc F() { md5.Sum(nil) }\n'
+    rows = [("go", "g", "a.go", go), ("go", "g", "a_test.go", go), ("npm", "n", "lib/x.js", "bcrypt.hash(p)"), ("npm", "n", "test/x.js", "bcrypt.hash(p)"), ("pypi", "p", "m.py", "hashlib.md5(x)"), ("pypi", "p", "test_m.py", "hashlib.md5(x)"), ("maven", "j", "A.kt", "new SecretKeySpec(k)"), ("cargo", "c", "m.rs", "x")]
+    got = detect.on_demand(spark.createDataFrame(rows, "ecosystem string, package string, path string, text string")).collect()
+    assert sorted((r.package, r.file_path, r.algorithm, r.risk) for r in got) == [("g", "a.go", "MD5", "VULNERABLE"), ("g", "a.go", "MD5", "VULNERABLE"), ("j", "A.kt", "AES", "PARTIAL"), ("n", "lib/x.js", "bcrypt", "UNKNOWN"), ("p", "m.py", "MD5", "VULNERABLE")]
+
+
+def test_exit_codes(spark):
+    df = spark.createDataFrame([(1, 0, 1), (0, 1, 1), (0, 0, 1), (0, 0, 0)], "vulnerable int, partial int, with_crypto int")
+    got = {t: [r.c for r in df.select(inventory.exit_code(t).alias("c")).collect()] for t in ("vulnerable", "partial", "any", "none")}
+    assert got == {"vulnerable": [1, 0, 0, 0], "partial": [1, 3, 0, 0], "any": [1, 3, 3, 0], "none": [0, 0, 0, 0]}
 
 
 def test_scopes_and_depth(spark):
     df = spark.createDataFrame([("p", PY)], "path string, text string")
-    assert [r.function for r in detect.scopes(df).orderBy("line_no").collect()] == ["", "", "f", "f", "", "g", "g", "g", "", ""]
+    assert [r.function for r in detect.scopes(df).orderBy("line_no").collect()] == ["", "", "f", "f", "", "C.g", "C.g", "C.g", "", ""]
     java = spark.createDataFrame([("j", "a {\n b { c }\n}\n")], "path string, text string")
     assert [r.depth for r in detect.brace_depth(java).orderBy("line_no").collect()] == [1, 1, 0, 0]
     assert detect.brace_depth(java).select(F.max("depth")).first()[0] == 1

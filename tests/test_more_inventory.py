@@ -12,10 +12,10 @@ JAVA = "class A {\n  // void no() {\n  public void run(int x) {\n    if (x) { Ma
 
 def test_brace_scopes(spark):
     frame = lambda t: spark.createDataFrame([("f", t), ("n", None)], "path string, text string")
-    js = [r.function for r in detect.brace_scopes(frame(JS), "javascript").where("path = 'f'").orderBy("line_no").collect()]
-    assert js == ["", "outer", "inner", "inner", "inner", "outer", "outer", ""]
-    java = {(r.line_no, r.algorithm): r.function for r in detect.detect_in_functions(frame(JAVA), "java").collect()}
-    assert java[(4, "HMAC-SHA256")] == "run" and java[(8, "DES")] == ""
+    js = [r.function for r in detect.scopes(frame(JS), "javascript").where("path = 'f'").orderBy("line_no").collect()]
+    assert js == ["", "outer", "inner", "inner", "outer", "outer", "", ""]
+    java = {(r.line_no, r.algorithm): (r.function, r.exported) for r in detect.detect(frame(JAVA), "java").collect()}
+    assert java[(4, "HMAC-SHA256")] == ("A.run", True) and java[(8, "DES")] == ("", False)
 
 
 def test_enrich_and_filters(spark):

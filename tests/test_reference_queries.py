@@ -17,7 +17,7 @@ def test_import_matches_reads_names(spark, tmp_path):
     # by hand: every name against every pattern, without the expressions
     want = set()
     for path, eco in {(n.strip(), e.strip().lower()) for r in rows.values() for n, e in r if n and e}:
-        first = next((p for p, _ in dims.import_patterns(eco) if path == p or path.startswith(p + "/")), None)
+        first = next((p for p, _ in dims.IMPORT_PATTERNS.get(eco, ()) if path == p or path.startswith(p + "/")), None)
         want |= {(path, eco, first)} if first else set()
     got = [tuple(r) for r in reference_queries.import_matches(spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
@@ -36,7 +36,7 @@ def test_import_patterns_match_themselves(spark):
 
     from strataq.functions import text
 
-    rows = [(e, p, p + s, s) for e in dims.IMPORT_PATTERNS for p, _ in dims.import_patterns(e) for s in ("", "/x", "x")]
+    rows = [(e, p, p + s, s) for e in dims.IMPORT_PATTERNS for p, _ in dims.IMPORT_PATTERNS[e] for s in ("", "/x", "x")]
     df = spark.createDataFrame(rows, "ecosystem string, p string, path string, s string")
     for r in df.withColumn("got", text.import_match(F.col("path"), F.col("ecosystem"))).collect():
         first = next((p for p, _ in dims.import_patterns(r.ecosystem) if r.path == p or r.path.startswith(p + "/")), None)
