@@ -144,7 +144,7 @@ def repair(asked: DataFrame, entries: DataFrame, vocab: DataFrame) -> DataFrame:
     pairs = keys.join(offered, ["kind", "key"]).where(near | begins).select("kind", "token", "word", "weight", cost.alias("cost")).distinct()
     least = pairs.groupBy("kind", "token").agg(F.min("cost").alias("_least"))
     sim = F.when(F.col("cost") == 3, F.lit(ABBREVIATED)).otherwise(1 - F.col("cost") / F.greatest(F.char_length("word"), F.char_length("token")))
-    return pairs.join(least, ["kind", "token"]).where("cost = _least").select("kind", "token", "word", "weight", sim.alias("sim"))
+    return pairs.join(least.hint("merge"), ["kind", "token"]).where("cost = _least").select("kind", "token", "word", "weight", sim.alias("sim"))
 
 
 def rank(signatures: DataFrame, names: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -193,17 +193,17 @@ def map_values(values: DataFrame, entries: DataFrame, checked: bool = True) -> D
     loose = cut.select("kind", "raw_key", F.explode("t").alias("token"))
     seen = scratch.put(loose.groupBy("kind", "token").agg(F.count("*").alias("n")))
     known = seen.join(vocab.withColumnRenamed("word", "token"), ["kind", "token"]).select("kind", "token", F.col("token").alias("word"), "weight", F.lit(1.0).alias("sim"))
-    lost = seen.where(~is_common(F.col("token"), kind)).join(known.select("kind", "token"), ["kind", "token"], "left_anti")
+    lost = seen.where(~is_common(F.col("token"), kind)).join(known.select("kind", "token").hint("merge"), ["kind", "token"], "left_anti")
     options = known.unionByName(repair(lost, entries, vocab)).groupBy("kind", "token").agg(F.array_sort(F.collect_list(F.struct("word", "weight", "sim"))).alias("options"))
-    meant = scratch.put(seen.join(options, ["kind", "token"], "left").withColumn("common", is_common(F.col("token"), kind)))
+    meant = scratch.put(seen.join(options.hint("merge"), ["kind", "token"], "left").withColumn("common", is_common(F.col("token"), kind)))
     elements = look_up(loose, meant, ["kind", "token"], "n").groupBy("kind", "raw_key").agg(F.array_sort(F.collect_set(F.when(F.col("options").isNotNull(), F.struct("common", "options")))).alias("elements"), F.count_if(F.col("options").isNull() & ~F.col("common")).alias("_unknown"))
     # what no name has can't be made good by a better rank
     mended = scratch.put(elements.where(f"{'_unknown = 0 and ' if checked else ''}size(elements) > 0").select("kind", "raw_key", "elements", F.md5(F.to_json("elements")).alias("sig")))
     signatures = scratch.put(mended.groupBy("kind", "sig").agg(F.first("elements").alias("elements"), F.count("*").alias("n")))
     best = rank(signatures, names, vocab)
-    found = scratch.put(signatures.select("kind", "sig", "n").join(best.where("whole") if checked else best, ["kind", "sig"]).select("kind", "sig", "n", "ref_id"))
+    found = scratch.put(signatures.select("kind", "sig", "n").join((best.where("whole") if checked else best).hint("merge"), ["kind", "sig"]).select("kind", "sig", "n", "ref_id"))
     told = look_up(mended.select("kind", "raw_key", "sig"), found, ["kind", "sig"], "n").select("kind", "raw_key", "ref_id")
-    answer = scratch.put(cut.select("kind", "raw_key", "n").join(told, ["kind", "raw_key"], "left").select("kind", "raw_key", "n", F.coalesce("ref_id", F.lit(NONE)).alias("ref_id")))
+    answer = scratch.put(cut.select("kind", "raw_key", "n").join(told.hint("merge"), ["kind", "raw_key"], "left").select("kind", "raw_key", "n", F.coalesce("ref_id", F.lit(NONE)).alias("ref_id")))
     return look_up(asked, answer, ["kind", "raw_key"], "n").select("kind", "record_id", "raw", "ref_id")
 
 
