@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.functions import dims, text
+from strataq.materialize import Scratch
+from strataq.skew import look_up, small
+
+#: dependency numbers that are ranked together
+BLOCK = 4096
 
 
 def index_kb(kb: DataFrame) -> DataFrame:
@@ -20,7 +25,8 @@ def index_kb(kb: DataFrame) -> DataFrame:
 
 def lookup(deps: DataFrame, index: DataFrame) -> DataFrame:
     """deps with ``usages`` (null where the name is unknown) and ``in_database``:
-    the entry of the dependency's version, else the latest of its name."""
+    the entry of the dependency's version, else the latest of its name. One join for
+    each row, for streams; ``resolve`` is the way for tables."""
     k = index.select(F.col("ecosystem").alias("_e"), F.col("key").alias("_k"), "latest", "by_version")
     joined = deps.join(k, (F.col("ecosystem") == F.col("_e")) & (F.lower("name") == F.col("_k")), "left")
     version = F.coalesce("version", F.lit(""))
@@ -28,6 +34,34 @@ def lookup(deps: DataFrame, index: DataFrame) -> DataFrame:
     return joined.withColumn("usages", exact).withColumn("in_database", F.col("_k").isNotNull()).drop("_e", "_k", "latest", "by_version")
 
 
+def resolve(deps: DataFrame, kb: DataFrame) -> DataFrame:
+    """The same as ``lookup`` on the rows of ``index_kb``'s input. Each distinct name
+    and version is looked up once, by two equi-joins; the rows then meet the answers,
+    of which the commonest are broadcast, so no package is a hot key."""
+    absent = F.lit("\x00")  # no entry has it, so rows without a name or ecosystem find nothing
+    keyed = deps.withColumns({"_e": F.coalesce("ecosystem", absent), "_k": F.coalesce(F.lower("name"), absent), "_v": F.coalesce("version", F.lit(""))})
+    asked = keyed.groupBy("_e", "_k", "_v").agg(F.count("*").alias("_n"))
+    rows = kb.select(F.col("ecosystem").alias("_e"), F.lower("package").alias("_k"), F.coalesce("version", F.lit("")).alias("_v"), "seq", F.struct("usages").alias("u"))
+    exact = rows.groupBy("_e", "_k", "_v").agg(F.max_by("u", "seq").alias("_exact"))
+    latest = rows.groupBy("_e", "_k").agg(F.max_by("u", "seq").alias("_latest"))
+    found = asked.join(exact, ["_e", "_k", "_v"], "left").join(latest, ["_e", "_k"], "left")
+    answers = Scratch(deps.sparkSession, "lookup").put(found.select("_e", "_k", "_v", "_n", F.coalesce("_exact", "_latest")["usages"].alias("usages"), F.col("_latest").isNotNull().alias("in_database")))
+    return look_up(keyed, answers, ["_e", "_k", "_v"], "_n").drop("_e", "_k", "_v")
+
+
+def ranked(findings: DataFrame, key: str) -> DataFrame:
+    """(key, dep_seq, usage_seq, place): the findings of a scan by falling risk, then
+    in their own order. Places are counted in blocks of BLOCK dependency numbers, so
+    a scan with a third of all findings is no single task."""
+    rows = findings.select(key, "dep_seq", "usage_seq", (-text.risk_rank(F.col("quantum_risk"))).alias("_r"), F.floor(F.col("dep_seq") / BLOCK).alias("_b"))
+    block = [key, "_r", "_b"]
+    counts = rows.groupBy(*block).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_r", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*block, F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*block).orderBy("dep_seq", "usage_seq")))
+    return numbered.join(offsets, block).select(key, "dep_seq", "usage_seq", (F.col("_before") + F.col("_row")).cast("bigint").alias("place"))
+
+
 def classify(df: DataFrame, alg_col: str) -> DataFrame:
     """Adds alg_name, alg_type, risk, severity of an algorithm name; names not in
     the table keep themselves, with type 'unknown', risk UNKNOWN, severity INFO."""
@@ -110,10 +144,18 @@ def merge_kb(curated: DataFrame, found: DataFrame) -> DataFrame:
 
 def infer_algorithms(packages: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
     """packages: (id, content); rules: (rule_no, pattern, pos, algorithm, type).
-    Algorithms of every rule any of whose patterns the lower-case content holds;
-    of equal algorithm and type the first counts. The rules are a short list."""
-    hit = packages.join(F.broadcast(rules), F.lower("content").contains(F.col("pattern")))
-    return hit.groupBy(id_col, "algorithm", "type").agg(F.min("rule_no").alias("rule_no"))
+    Algorithms of every rule any of whose patterns the lower-case content holds; of
+    equal algorithm and type the first rule counts. The rules are a short list: they
+    become one expression, so each text is read once and nothing is joined."""
+    if not small(rules, 10_000):
+        raise ValueError("more than 10,000 rules: they are meant to be a short list")
+    listed = sorted(map(tuple, rules.select("pattern", "rule_no", "algorithm", "type").collect()))
+    content = F.lower("content")
+    hits = [F.when(content.contains(p), F.array(*[F.struct(F.lit(n).alias("rule_no"), F.lit(a).alias("algorithm"), F.lit(t).alias("type")) for q, n, a, t in listed if q == p])) for p in dict.fromkeys(x[0] for x in listed)]
+    if not hits:
+        return packages.select(id_col).limit(0).select(id_col, F.lit("").alias("algorithm"), F.lit("").alias("type"), F.lit(0).alias("rule_no"))
+    found = packages.select(id_col, F.explode(F.flatten(F.array_compact(F.array(*hits)))).alias("h")).select(id_col, "h.*")
+    return found.groupBy(id_col, "algorithm", "type").agg(F.min("rule_no").alias("rule_no"))
 
 
 def dedupe_usages(usages: DataFrame, order: str) -> DataFrame:

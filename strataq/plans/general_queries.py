@@ -96,4 +96,29 @@ _P4_PAIRS = _NODES + """, a AS (SELECT e.up AS ancestor, e.id AS node, 1 AS link
 SELECT ancestor, node, links::BIGINT AS links FROM a
 """
 
-ORACLE = {"p6_found": _CLEAN6, "p4_found": _P4, "p4_paths": _P4_PATHS, "p4_descendants": _P4_PAIRS}
+_P5 = r"""
+WITH RECURSIVE us AS (SELECT analysis_id AS id, p.i - 1 AS a, crypto[p.i] AS u FROM package_analysis, unnest(range(1, coalesce(len(crypto), 0) + 1)) p(i) WHERE crypto[p.i] IS NOT NULL),
+cs AS (SELECT id, a, p.i - 1 AS b FROM us, unnest(range(1, coalesce(len(u.call_path), 0) + 1)) p(i) WHERE u.call_path[p.i] IS NOT NULL),
+tr AS (SELECT id, a, p.i - 1 AS b, u.traces[p.i] AS t FROM us, unnest(range(1, coalesce(len(u.traces), 0) + 1)) p(i) WHERE u.traces[p.i] IS NOT NULL),
+ts AS (SELECT id, a, b, p.i - 1 AS c FROM tr, unnest(range(1, coalesce(len(t.call_steps), 0) + 1)) p(i) WHERE t.call_steps[p.i] IS NOT NULL),
+w AS (SELECT report_id AS id, regexp_replace(payload, '^[\x{FEFF}\s]+|\s+$', '', 'g') AS s FROM report_document WHERE payload IS NOT NULL
+ UNION ALL SELECT id, regexp_replace(CASE WHEN json_valid(s) THEN json(s) ->> '$' END, '^[\x{FEFF}\s]+|\s+$', '', 'g') FROM w WHERE starts_with(s, '"')),
+d AS (SELECT id, json(s) AS j FROM w WHERE starts_with(s, '{') AND json_valid(s)),
+lists AS (SELECT id, list_r, list_c FROM (SELECT id, CASE json_type(j, '$.runs') WHEN 'ARRAY' THEN json_extract(j, '$.runs[*]') ELSE [json_extract(j, '$.runs')] END AS list_r, CASE json_type(j, '$.components') WHEN 'ARRAY' THEN json_extract(j, '$.components[*]') ELSE [json_extract(j, '$.components')] END AS list_c FROM d)),
+runs AS (SELECT id, p.i - 1 AS a, list_r[p.i] AS r FROM lists, unnest(range(1, len(list_r) + 1)) p(i) WHERE list_r[p.i] IS NOT NULL AND json_type(list_r[p.i]) <> 'NULL'),
+parts AS (SELECT id, a, CASE json_type(r, '$.tool.driver.rules') WHEN 'ARRAY' THEN json_extract(r, '$.tool.driver.rules[*]') ELSE [json_extract(r, '$.tool.driver.rules')] END AS rules,
+ CASE json_type(r, '$.results') WHEN 'ARRAY' THEN json_extract(r, '$.results[*]') ELSE [json_extract(r, '$.results')] END AS results FROM runs),
+ru AS (SELECT id, a, p.i - 1 AS b FROM parts, unnest(range(1, len(rules) + 1)) p(i) WHERE rules[p.i] IS NOT NULL AND json_type(rules[p.i]) <> 'NULL'),
+re AS (SELECT id, a, p.i - 1 AS b, results[p.i] AS r, coalesce(list_position(list_transform(rules, lambda x: x ->> '$.id'), results[p.i] ->> '$.ruleId') - 1, -1) AS place FROM parts, unnest(range(1, len(results) + 1)) p(i) WHERE results[p.i] IS NOT NULL AND json_type(results[p.i]) <> 'NULL'),
+lo AS (SELECT id, a, b, CASE json_type(r, '$.locations') WHEN 'ARRAY' THEN json_extract(r, '$.locations[*]') ELSE [json_extract(r, '$.locations')] END AS ls FROM re),
+ll AS (SELECT id, a, b, p.i - 1 AS c FROM lo, unnest(range(1, len(ls) + 1)) p(i) WHERE ls[p.i] IS NOT NULL AND json_type(ls[p.i]) <> 'NULL'),
+co AS (SELECT id, p.i - 1 AS a, list_c[p.i] AS x FROM lists, unnest(range(1, len(list_c) + 1)) p(i) WHERE list_c[p.i] IS NOT NULL AND json_type(list_c[p.i]) <> 'NULL'),
+fl AS (SELECT id, a, CASE json_type(x, '$.cryptoProperties.algorithmProperties.cryptoFunctions') WHEN 'ARRAY' THEN json_extract(x, '$.cryptoProperties.algorithmProperties.cryptoFunctions[*]') ELSE [json_extract(x, '$.cryptoProperties.algorithmProperties.cryptoFunctions')] END AS fs FROM co),
+ff AS (SELECT id, a, p.i - 1 AS b FROM fl, unnest(range(1, len(fs) + 1)) p(i) WHERE fs[p.i] IS NOT NULL AND json_type(fs[p.i]) <> 'NULL')
+SELECT 'usage' AS kind, id AS record_id, a AS pos1, -1::BIGINT AS pos2, -1::BIGINT AS pos3 FROM us
+UNION ALL SELECT 'call_step', id, a, b, -1 FROM cs UNION ALL SELECT 'trace_step', id, a, b, c FROM ts
+UNION ALL SELECT 'sarif_rule', id, a, b, -1 FROM ru UNION ALL SELECT 'sarif_result', id, a, b, place FROM re
+UNION ALL SELECT 'sarif_location', id, a, b, c FROM ll UNION ALL SELECT 'cbom_function', id, a, b, -1 FROM ff
+"""
+
+ORACLE = {"p5_found": _P5, "p6_found": _CLEAN6, "p4_found": _P4, "p4_paths": _P4_PATHS, "p4_descendants": _P4_PAIRS}

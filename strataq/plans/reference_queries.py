@@ -6,10 +6,10 @@ A scan's dependencies are rows of ``dependency``; the knowledge base is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.functions import dims, text
+from strataq.functions import detection, dims, text
 from strataq.operators import detect, inventory, reachability, reports
 from strataq.sources import manifests
 
@@ -32,7 +32,7 @@ def _kb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:
-    return inventory.lookup(_deps(spark, sf), inventory.index_kb(_kb(spark, sf)))
+    return inventory.resolve(_deps(spark, sf), _kb(spark, sf))
 
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,9 +138,7 @@ def package_risk(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranked_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of each scan by falling risk, ties in their own order."""
-    f = _findings(spark, sf)
-    w = Window.partitionBy("scan_id").orderBy(text.risk_rank(F.col("quantum_risk")).desc(), "dep_seq", "usage_seq")
-    return f.select("scan_id", "dep_seq", "usage_seq", F.row_number().over(w).cast("bigint").alias("place"))
+    return inventory.ranked(_findings(spark, sf), "scan_id")
 
 
 def kb_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +220,7 @@ def source_uses(spark: SparkSession, sf: str) -> DataFrame:
     d = _t(spark, sf, "documents").where("doc_kind = 'source_file'")
     out = None
     for language in detect.LANGUAGES:
-        one = detect.usages(d, language, "doc_id").select("doc_id", F.lit(language).alias("language"), "line_no", "family", "algorithm", "function", "risk")
+        one = detect.usages(d, language, "doc_id").select("doc_id", F.lit(language).alias("language"), "line_no", "family", "algorithm", "risk")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -278,6 +276,58 @@ r AS (SELECT g, node, 1 AS n FROM s UNION SELECT e.g, e.b, r.n + 1 FROM r JOIN e
 m AS (SELECT g, node, min(n)::BIGINT AS n FROM r GROUP BY ALL)"""
 _REACHED = "CASE WHEN m.n IS NULL THEN 'AVAILABLE' WHEN m.n <= 2 THEN 'CONFIRMED' ELSE 'REACHABLE' END"
 
+
+
+def _q(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _case(test: str, names, otherwise: str = "NULL") -> str:
+    """CASE over (pattern, name) pairs; test holds {0} for the quoted pattern."""
+    pairs = names.items() if isinstance(names, dict) else names
+    return "CASE " + " ".join(f"WHEN {test.format(_q(p))} THEN {_q(n)}" for p, n in pairs) + f" ELSE {otherwise} END"
+
+
+def _uses_sql() -> str:
+    d, low, has = detection, "contains(lower(l), {0})", "contains(l, {0})"
+    ex = lambda pattern, group=1, col="l": f"nullif(regexp_extract({col}, {_q(pattern)}, {group}), '')"
+    gate = lambda pattern, value: f"CASE WHEN regexp_matches(l, {_q(pattern)}) THEN {value} END"
+    java = lambda name: "CASE WHEN {0} IS NOT NULL THEN coalesce({1}, {2}, {3}, {0}) END".format(name, _case(f"{name} = {{0}}", d.JAVA_NAMES), _case(f"upper({name}) = {{0}}", d.JAVA_NAMES), "CASE " + " ".join("WHEN " + " AND ".join(f"contains(upper({name}), '{x}')" for x in parts) + f" THEN '{n}'" for parts, n in d.JAVA_PARTS) + " END")
+    quoted = f"list_filter(list_transform(regexp_extract_all(l, {_q(d.JS_QUOTED)}, 1), lambda x: {_case('lower(x) = {0}', d.JS_NAMES)}), lambda x: x IS NOT NULL)[1]"
+    method = ex(d.JS_CRYPTO)
+    pair = f"CASE WHEN {method} IN {d.JS_KEY_PAIRS} THEN {_case(has, d.JS_KEY_PAIR_NAMES, _q('RSA'))} END"
+    hint = f"coalesce({ex(d.JAVA_HINT, 1, 'coalesce(cls, chr(0))')}, {ex(d.JAVA_HINT)})"
+    uses = {
+        "python": {
+            "cryptography": gate(d.PY_CRYPTOGRAPHY, _case(low, d.PY_CRYPTOGRAPHY_NAMES)),
+            "cryptodome": gate(d.PY_CRYPTODOME, _case(has, d.PY_CRYPTODOME_NAMES)),
+            "hashlib": gate(d.PY_HASHLIB, _case(f"{ex(d.PY_HASHLIB)} = {{0}}", d.PY_HASHLIB_NAMES, "'SHA-256'")),
+            "hmac": gate(d.PY_HMAC, _case(low, d.PY_HMAC_NAMES, "'HMAC'")),
+            "bcrypt": gate(d.PY_BCRYPT, "'bcrypt'"),
+            "jwt": gate(d.PY_JWT, f"coalesce(upper({ex(d.PY_QUOTED)}), {_case(low, d.PY_JWT_NAMES, _q('RS256'))})"),
+            "passlib": gate(d.PY_PASSLIB, _case(low, d.PY_PASSLIB_NAMES, "'bcrypt'")),
+            "nacl": gate(d.PY_NACL, "CASE WHEN contains(lower(l), 'signingkey') THEN 'Ed25519' ELSE 'X25519' END"),
+        },
+        "javascript": {
+            "crypto": gate(d.JS_CRYPTO, f"coalesce({quoted}, {_case(method + ' = {0}', d.JS_METHODS)}, {pair})"),
+            "bcrypt": gate(d.JS_BCRYPT, "'bcrypt'"),
+            "jwt": gate(d.JS_JWT, _case(low, d.JS_JWT_NAMES, "'RS256'")),
+            "cryptojs": gate(d.JS_CRYPTOJS, _case(f"{ex(d.JS_CRYPTOJS)} = {{0}}", d.JS_CRYPTOJS_NAMES)),
+            "forge": gate(d.JS_FORGE, _case(low, d.JS_FORGE_NAMES)),
+        },
+        "java": {
+            **{x: java(ex(x + r"""\.getInstance\s*\(\s*["']([^"']+)["']""")) for x in d.JAVA_SERVICES},
+            **{f"{x} call": gate(call, f"coalesce({_case(f'upper({hint}) = {{0}}', d.JAVA_HINT_NAMES)}, '{default}')") for x, call, default in d.JAVA_CALLS},
+            "bouncycastle": java(ex(d.JAVA_BOUNCY)),
+            "spring": _case(f"{ex(d.JAVA_SPRING)} = {{0}}", d.JAVA_SPRING_NAMES),
+        },
+    }
+    skip = {"python": r"^\s*(#|$)", "javascript": r"^\b$", "java": r"^\s*(//|\*|/\*|$)"}
+    lines = r"""f AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS ls FROM documents WHERE doc_kind = 'source_file' AND text IS NOT NULL), x AS (SELECT doc_id, p.i AS n, ls[p.i] AS l, NULL::VARCHAR AS cls FROM f, unnest(range(1, len(ls) + 1)) p(i))"""
+    each = " UNION ALL ".join(f"SELECT doc_id, '{lang}' AS language, n AS line_no, '{family}' AS family, {sql} AS algorithm FROM x WHERE NOT regexp_matches(l, '{skip[lang]}')" for lang, of in uses.items() for family, sql in of.items())
+    return f"WITH {lines}, u AS ({each}) SELECT doc_id, language, line_no, family, u.algorithm, coalesce(t.risk, 'UNKNOWN') AS risk FROM u LEFT JOIN {_DIM} ON t.key = lower(replace(u.algorithm, '_', '-')) WHERE u.algorithm IS NOT NULL"
+
+
 ORACLE = {
     "scan_summary": f"""WITH {_KB}, s AS (SELECT scan_id, {_SUMS} FROM j LEFT JOIN c ON c.seq = j.seq GROUP BY scan_id)
 SELECT *, CASE WHEN with_crypto = 0 THEN 0 WHEN vulnerable > 0 THEN 1 ELSE 3 END AS exit_code,
@@ -321,6 +371,7 @@ SELECT g AS package, count(*) FILTER (reached = 'CONFIRMED') AS confirmed, count
     "crypto_traces": _CALLS + r""", t AS (SELECT g, node AS entry, node, 1 AS n FROM s UNION SELECT e.g, t.entry, e.b, t.n + 1 FROM t JOIN e ON e.g = t.g AND e.a = t.node WHERE t.n < 40)
 SELECT t.g AS package, t.entry AS entry_point, t.node AS target_func, CASE WHEN contains(t.node, '.') THEN regexp_extract(t.node, '^(.*)\.[^.]*$', 1) ELSE '' END AS target_pkg, min(t.n)::BIGINT AS nodes_on_path
 FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.g = t.g AND u.node = t.node) GROUP BY t.g, t.entry, t.node""",
+    "source_uses": _uses_sql(),
     "source_depth": r"""WITH l AS (SELECT doc_id, p.i AS line_no, regexp_split_to_array(text, '\r?\n')[p.i] AS l FROM documents, unnest(range(1, len(regexp_split_to_array(text, '\r?\n')) + 1)) p(i) WHERE doc_kind = 'source_file' AND text IS NOT NULL)
 SELECT doc_id, line_no, sum(length(regexp_replace(l, '[^{]', '', 'g')) - length(regexp_replace(l, '[^}]', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS depth FROM l""",
     "clean_versions": r"""WITH d AS (SELECT dep_id, version AS v, ['^', '~', '>=', '> ', '', '<='][(dep_id % 6 + 1)::INT] || version || CASE WHEN dep_id % 4 = 0 THEN ' - 9.0' WHEN dep_id % 4 = 1 THEN ' || 8.0' ELSE '' END AS r FROM dependency WHERE version IS NOT NULL),

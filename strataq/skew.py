@@ -16,13 +16,13 @@ def look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], n: str) -> D
     """rows joined with the row of ``table`` that has equal keys; rows without one
     are left out. ``table`` has one row per key and is read several times, so it
     should be a written one; its column ``n`` is the number of rows with that key,
-    or any other weight. Hot keys are broadcast, the rest is a shuffle join.
-    Column names other than the keys must differ. Null keys match nothing."""
+    or any other weight. Hot keys are broadcast, the rest is a shuffle join however
+    small it is, so nothing that grows with the data is broadcast. Column names other than the keys must differ. Null keys match nothing."""
     total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     is_hot = F.col(n) * HOT_SHARE > total
     hot, rest = table.where(is_hot).drop(n), table.where(~is_hot).drop(n)
     keys = list(keys)
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(rest, keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(rest.hint("merge"), keys))
 
 
 def small(df: DataFrame, rows: int = 100_000) -> bool:
