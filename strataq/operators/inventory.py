@@ -116,7 +116,7 @@ def hints(deep: bool = False) -> Column:
 
 def findings(found: DataFrame, *keys: str) -> DataFrame:
     """One row per dependency and usage, in order."""
-    return found.select(*keys, "name", "version", F.posexplode("usages").alias("usage_seq", "u")).where("u is not null").select(*keys, text.package_label(F.col("name"), F.col("version")).alias("label"), "usage_seq", "u.*")
+    return found.select(*keys, "name", "version", F.posexplode("usages").alias("usage_seq", "u")).where("u is not null").select(*keys, "name", "version", text.package_label(F.col("name"), F.col("version")).alias("label"), "usage_seq", "u.*")
 
 
 def highest_risk(df: DataFrame, risk_col: str, *keys: str) -> DataFrame:

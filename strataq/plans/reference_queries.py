@@ -23,7 +23,7 @@ def _eco(col: str):
 
 
 def _deps(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "dependency").select("scan_id", "project", F.col("dep_id").alias("dep_seq"), "name", "version", _eco("ecosystem").alias("ecosystem"), F.coalesce("direct", F.lit(False)).alias("direct"))
+    return _t(spark, sf, "dependency").select("scan_id", "project", "manifest", "scanned_at", F.col("dep_id").alias("dep_seq"), "name", "version", _eco("ecosystem").alias("ecosystem"), F.coalesce("direct", F.lit(False)).alias("direct"))
 
 
 def _kb(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,22 +174,42 @@ def available_algorithms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sarif_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.sarif_rules(_findings(spark, sf), "scan_id")
+    return reports.sarif_rules(_findings(spark, sf), "scan_id").drop("dep_seq", "usage_seq")
 
 
 def cbom_components(spark: SparkSession, sf: str) -> DataFrame:
     return reports.cbom_components(_findings(spark, sf), "scan_id")
 
 
+def risk_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.risk_breakdown(_findings(spark, sf), "scan_id")
+
+
+def _reported(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scans with their counters, dependencies, findings."""
+    found = _found(spark, sf)
+    about = found.groupBy("scan_id").agg(F.min("project").alias("project"), F.min("manifest").alias("manifest"), F.min("ecosystem").alias("ecosystem"), F.max("scanned_at").alias("scanned_at"))
+    scans = inventory.summarise(found, "scan_id").withColumn("hints", inventory.hints()).join(about, "scan_id")
+    findings = inventory.findings(found, "scan_id", "dep_seq").where("algorithm is not null")
+    return scans, found.select("scan_id", "dep_seq", "name", "version", "ecosystem", "direct", "usages", "in_database"), findings
+
+
 def report_documents(spark: SparkSession, sf: str) -> DataFrame:
-    f = _findings(spark, sf)
+    """The pieces of each scan's JSON, SARIF, CBOM and Markdown reports."""
+    scans, found, findings = _reported(spark, sf)
     out = None
     for kind in ("json", "cbom", "sarif", "markdown"):
-        one = reports.documents(f, kind, "scan_id").select("scan_id", F.lit(kind).alias("report"), "payload")
+        one = reports.report(kind, scans, found, findings, "scan_id").withColumn("report", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def markdown_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The Markdown report of each scan, line by line or in blocks of lines."""
+    scans, found, findings = _reported(spark, sf)
+    return reports.report("md", scans, found, findings, "scan_id")
+
+
 def _calls(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges between neighbours of call paths, entries where paths begin, findings
     at the functions where they were seen; packages are the graphs."""
@@ -237,7 +257,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_summary, portfolio_summary, scan_findings, classified_usages, remediation_keys, import_matches, clean_versions, requirement_lines, go_mod_dependencies, go_mod_left_out, discovered_manifests, preferred_manifests, crypto_packages, package_risk,
-        ranked_findings, kb_stats, kb_export, kb_merge, inferred_algorithms, deduped_usages, available_algorithms, sarif_rules, cbom_components, report_documents, call_reachability, reachability_counts, crypto_traces, source_uses, source_depth, source_scopes,
+        ranked_findings, kb_stats, kb_export, kb_merge, inferred_algorithms, deduped_usages, available_algorithms, sarif_rules, cbom_components, risk_breakdown, report_documents, markdown_report, call_reachability, reachability_counts, crypto_traces, source_uses, source_depth, source_scopes,
     )
 }
 
@@ -252,7 +272,7 @@ c AS (SELECT seq, coalesce(len(list_filter(crypto, lambda u: u IS NOT NULL)), 0)
 """
 _SUMS = """count(*) AS total, count(*) FILTER (direct) AS direct_count, count(*) FILTER (coalesce(n, 0) > 0) AS with_crypto, sum(coalesce(vul, 0))::BIGINT AS vulnerable, sum(coalesce(par, 0))::BIGINT AS partial, count(*) FILTER (j.seq IS NULL) AS not_in_database"""
 _FIND = f"""WITH {_KB}, o AS (SELECT k.seq, p.i - 1 AS i, crypto[p.i] AS u FROM k, unnest(range(1, len(crypto) + 1)) p(i)),
-f AS (SELECT j.scan_id, j.dep_id AS dep_seq, o.i::INT AS usage_seq, CASE WHEN coalesce(j.version, '') <> '' THEN j.name || '@' || j.version ELSE j.name END AS label, u.algorithm, u.quantum_risk, u.severity, u.usage_type
+f AS (SELECT j.scan_id, j.dep_id AS dep_seq, o.i::INT AS usage_seq, CASE WHEN coalesce(j.version, '') <> '' THEN j.name || '@' || j.version ELSE j.name END AS label, j.name, j.version, u.algorithm, u.quantum_risk, u.severity, u.usage_type
       FROM j JOIN o ON o.seq = j.seq WHERE u IS NOT NULL AND u.algorithm IS NOT NULL)"""
 _RANK = "CASE {0} WHEN 'VULNERABLE' THEN 3 WHEN 'PARTIAL' THEN 2 WHEN 'SAFE' THEN 1 ELSE 0 END"
 _LEVEL = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END"
@@ -363,8 +383,19 @@ SELECT *, 'curated' AS origin FROM c UNION ALL SELECT f.*, 'inferred' FROM f WHE
 SELECT info_id, alg_name AS algorithm, alg_type AS type, min(rule_no)::INT AS rule_no FROM p JOIN r ON contains(c, r.key) GROUP BY ALL""",
     "available_algorithms": "SELECT package, string_agg(algorithm, ', ' ORDER BY algorithm) AS algorithms FROM (SELECT DISTINCT package, algorithm FROM crypto_usage WHERE upper(reachability) = 'AVAILABLE' AND algorithm IS NOT NULL) GROUP BY package",
     "sarif_rules": _FIND + f""", g AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY scan_id, algorithm) AS results FROM f WINDOW w AS (PARTITION BY scan_id, algorithm ORDER BY dep_seq, usage_seq))
-SELECT scan_id, 'CRYPTO-' || algorithm AS rule_id, label || ' uses ' || algorithm AS description, {_LEVEL} AS level, results FROM g WHERE rn = 1""",
-    "cbom_components": _FIND + " SELECT scan_id, dep_seq, usage_seq, 'cryptographic-asset' AS component_type, algorithm AS component_name, coalesce(usage_type, '') AS primitive, label FROM f",
+SELECT scan_id, 'CRYPTO-' || algorithm AS rule_id, algorithm || ' Usage' AS rule_name, 'Dependency uses ' || algorithm AS short_description,
+ 'The dependency ' || coalesce(name, '') || ' uses ' || algorithm || ' which has quantum risk: ' || coalesce(quantum_risk, '') AS full_description, {_LEVEL} AS level, results FROM g WHERE rn = 1""",
+    "cbom_components": _FIND + " SELECT scan_id, dep_seq, usage_seq, 'cryptographic-asset' AS component_type, algorithm AS component_name, coalesce(version, '') AS component_version, coalesce(usage_type, '') AS primitive FROM f",
+    "risk_breakdown": _FIND + ", r AS (SELECT *, CASE WHEN quantum_risk IN ('VULNERABLE', 'PARTIAL', 'SAFE') THEN quantum_risk ELSE 'UNKNOWN' END AS risk FROM f)" + f" SELECT scan_id, risk, count(*) AS findings, count(DISTINCT algorithm) AS algorithms, count(DISTINCT dep_seq) AS dependencies, {_RANK.format('risk')}::INT AS rank FROM r GROUP BY scan_id, risk",
+    "markdown_report": _FIND + f""", s AS (SELECT scan_id, {_SUMS} FROM j LEFT JOIN c ON c.seq = j.seq GROUP BY scan_id), b AS (SELECT s.*, m.manifest, m.ecosystem FROM s JOIN (SELECT scan_id, min(manifest) AS manifest, min(lower(trim(ecosystem, ' '))) AS ecosystem FROM dependency GROUP BY 1) m USING (scan_id))
+SELECT scan_id, 0 AS section, -1::BIGINT AS dep_seq, -1::BIGINT AS usage_seq, concat_ws(chr(10), '# Scan Report', '', '## Summary', '', '| Metric | Value |', '|--------|-------|', '| **Manifest** | `' || coalesce(manifest, '') || '` |', '| **Ecosystem** | ' || coalesce(ecosystem, '') || ' |',
+ '| **Total Dependencies** | ' || total || ' |', '| **Using Crypto** | ' || with_crypto || ' |', '| **Quantum Vulnerable** | ' || vulnerable || ' |', '| **Quantum Partial** | ' || partial || ' |', '| **Not in Database** | ' || not_in_database || ' |', '') AS piece FROM b
+UNION ALL SELECT scan_id, 1, -1, -1, 'No cryptographic usage detected in dependencies.' FROM b WHERE with_crypto = 0
+UNION ALL SELECT scan_id, 2, -1, -1, '## Findings' || chr(10) || chr(10) || '### Quantum Vulnerable' || chr(10) || chr(10) || CASE WHEN vulnerable > 0 THEN '| Dependency | Algorithm | Type | Severity |' || chr(10) || '|------------|-----------|------|----------|' ELSE 'No quantum-vulnerable algorithms found.' END FROM b WHERE with_crypto > 0
+UNION ALL SELECT scan_id, 4, -1, -1, chr(10) || '### Quantum Partial Risk' || chr(10) || chr(10) || CASE WHEN partial > 0 THEN '| Dependency | Algorithm | Type | Severity |' || chr(10) || '|------------|-----------|------|----------|' ELSE 'No partial-risk algorithms found.' END FROM b WHERE with_crypto > 0
+UNION ALL SELECT scan_id, CASE quantum_risk WHEN 'VULNERABLE' THEN 3 ELSE 5 END, dep_seq, usage_seq, '| ' || coalesce(name, '') || '@' || coalesce(version, '') || ' | ' || algorithm || ' | ' || coalesce(usage_type, '') || ' | ' || coalesce(severity, '') || ' |' FROM f WHERE quantum_risk IN ('VULNERABLE', 'PARTIAL')
+UNION ALL SELECT scan_id, 8, -1, -1, concat_ws(chr(10), '', '## NIST Post-Quantum Cryptography Standards', '', '| Standard | Algorithm | Use Case |', '|----------|-----------|----------|', '| [FIPS 203](https://csrc.nist.gov/pubs/fips/203/final) | ML-KEM (Kyber) | Key Encapsulation |', '| [FIPS 204](https://csrc.nist.gov/pubs/fips/204/final) | ML-DSA (Dilithium) | Digital Signatures |', '| [FIPS 205](https://csrc.nist.gov/pubs/fips/205/final) | SLH-DSA (SPHINCS+) | Stateless Hash Signatures |') FROM b WHERE with_crypto > 0
+UNION ALL SELECT scan_id, 9, -1, -1, chr(10) || '## Notes' || chr(10) || chr(10) || '> **' || not_in_database || ' packages (' || round_even(not_in_database * 100.0 / total, 0)::BIGINT || '%) were not in the crypto database.**' || chr(10) || '> Run with `--deep` flag to analyze these packages via source code inspection.' FROM b WHERE with_crypto > 0 AND not_in_database > 0""",
     "call_reachability": _CALLS + f""" SELECT usage_id, {_REACHED} AS reached, m.n AS nodes_on_path FROM u LEFT JOIN m ON m.g = u.g AND m.node = u.node WHERE u.node IS NOT NULL""",
     "reachability_counts": _CALLS + f""", c AS (SELECT u.g, {_REACHED} AS reached FROM u LEFT JOIN m ON m.g = u.g AND m.node = u.node WHERE u.node IS NOT NULL)
 SELECT g AS package, count(*) FILTER (reached = 'CONFIRMED') AS confirmed, count(*) FILTER (reached = 'REACHABLE') AS reachable, count(*) FILTER (reached = 'AVAILABLE') AS available FROM c GROUP BY g""",

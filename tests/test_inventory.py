@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataq.operators import detect, inventory, reachability, reports
@@ -20,6 +21,14 @@ def test_lookup_falls_back_to_the_entry_written_last(spark):
     assert got == {(1, 1): (True, ["AES", "AES"]), (1, 2): (True, ["AES", "AES"]), (1, 3): (False, []), (2, 1): (True, ["SHA-512", None]), (2, 2): (True, []), (3, 1): (False, [])}
 
 
+def test_distinct_names_are_resolved_like_rows(spark):
+    kb = [(1, "go", "x/crypto", "", [RSA]), (2, "go", "X/Crypto", "1.0", [AES, AES]), (3, "npm", "jose", None, [SHA, None]), (4, "npm", "empty", "", None), (5, "npm", "jose", "2", None)]
+    deps = [(1, i, "jose" if i % 3 else f"n{i}", ("5", "2", "", None)[i % 4], "npm", True) for i in range(40)] + [(2, 1, None, None, "go", True), (2, 2, "x/crypto", "9", None, True), (2, 3, "X/crypto", "1.0", "go", False), (2, 3, "X/crypto", "1.0", "go", False)]
+    d, k = spark.createDataFrame(deps, DEPS), spark.createDataFrame(kb, KB)
+    rows = lambda df: sorted(str(r) for r in df.select(*d.columns, "usages", "in_database").collect())
+    assert rows(inventory.resolve(d, k)) == rows(inventory.lookup(d, inventory.index_kb(k)))
+
+
 def test_summary_counts_dependencies_once(spark):
     s = inventory.summarise(found(spark), "scan_id").withColumn("any", inventory.exit_code("any")).withColumn("vul", inventory.exit_code()).withColumn("hint", inventory.hints())
     got = {r.scan_id: tuple(r)[1:] for r in s.collect()}
@@ -61,12 +70,32 @@ def test_kb_building(spark):
 
 
 def test_reports(spark):
-    f = inventory.findings(found(spark), "scan_id", "dep_seq")
-    for kind in ("json", "cbom", "sarif", "markdown"):
-        docs = {r.scan_id: r.payload for r in reports.documents(f, kind, "scan_id").collect()}
-        assert 1 in docs and (kind == "markdown" or json.loads(docs[1]))
-    run = json.loads({r.scan_id: r.payload for r in reports.documents(f, "sarif", "scan_id").collect()}[1])["runs"][0]
-    assert len(run["results"]) == 4 and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["CRYPTO-AES"]
+    dependencies = found(spark).withColumn("ecosystem", F.lit("npm")) if "ecosystem" not in found(spark).columns else found(spark)
+    f = inventory.findings(dependencies, "scan_id", "dep_seq").where("algorithm is not null")
+    if "usage_type" not in f.columns:
+        f = f.withColumn("usage_type", F.lit("t"))
+    scans = inventory.summarise(dependencies, "scan_id").withColumn("hints", inventory.hints()).withColumns({"project": F.lit("p"), "manifest": F.lit("go.mod"), "ecosystem": F.lit("go"), "scanned_at": F.lit("2025-01-02 03:04:05").cast("timestamp")})
+
+    def documents(kind):
+        rows = reports.report(kind, scans, dependencies, f, "scan_id").orderBy("scan_id", "section", "dep_seq", "usage_seq").collect()
+        out = {}
+        for r in rows:
+            out.setdefault(r.scan_id, []).append(r.piece)
+        return {k: "\n".join(v) for k, v in out.items()}
+
+    sarif = {k: json.loads(v) for k, v in documents("sarif").items()}
+    assert set(sarif) == {1, 2, 3} and sarif[3]["runs"][0]["results"] == []
+    run = sarif[1]["runs"][0]
+    assert "$schema" in sarif[1] and len(run["results"]) == 4 and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["CRYPTO-AES"]
+    assert run["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "go.mod" and "(Quantum Risk: " in run["results"][0]["message"]["text"]
+    bom = json.loads(documents("cbom")[1])
+    assert bom["metadata"]["timestamp"] == "2025-01-02T03:04:05Z" and len(bom["components"]) == 4 and bom["serialNumber"].startswith("urn:uuid:")
+    full = {k: json.loads(v) for k, v in documents("json").items()}
+    assert full[1]["summary"]["totalDependencies"] == 3 == len(full[1]["dependencies"]) and full[3]["hints"] == ["deep:100", "unknown"]
+    md = documents("md")
+    assert md[3].endswith("No cryptographic usage detected in dependencies.") and "### Quantum Partial Risk" in md[1] and "FIPS 203" in md[1]
+    with pytest.raises(ValueError):
+        reports.report("xml", scans, dependencies, f, "scan_id")
 
 
 PY = "import hashlib\n# hashlib.md5(\ndef f(x):\n    return hashlib.sha256(x)\nclass C:\n\tdef g(self):\n\t\tjwt.encode(a, algorithm='ES384')\n\nhmac.new(k, m, 'sha1')\n"

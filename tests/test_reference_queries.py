@@ -39,7 +39,7 @@ def test_import_patterns_match_themselves(spark):
     rows = [(e, p, p + s, s) for e in dims.IMPORT_PATTERNS for p, _ in dims.IMPORT_PATTERNS[e] for s in ("", "/x", "x")]
     df = spark.createDataFrame(rows, "ecosystem string, p string, path string, s string")
     for r in df.withColumn("got", text.import_match(F.col("path"), F.col("ecosystem"))).collect():
-        first = next((p for p, _ in dims.import_patterns(r.ecosystem) if r.path == p or r.path.startswith(p + "/")), None)
+        first = next((p for p, _ in dims.IMPORT_PATTERNS[r.ecosystem] if r.path == p or r.path.startswith(p + "/")), None)
         assert r.got == first and (r.s == "x" or r.got)
 
 
