@@ -141,7 +141,7 @@ def repair(asked: DataFrame, entries: DataFrame, vocab: DataFrame) -> DataFrame:
     near = ~F.col("short") & (same_start | long) & ((edits <= 1) | swap | (long & (edits <= 2)))
     begins = F.col("short") & (F.col("key") == F.col("token"))
     cost = F.when(F.col("short"), F.lit(3)).when(swap, F.lit(1)).otherwise(edits)
-    pairs = keys.join(offered, ["kind", "key"]).where(near | begins).select("kind", "token", "word", "weight", cost.alias("cost")).distinct()
+    pairs = keys.join(offered.hint("merge"), ["kind", "key"]).where(near | begins).select("kind", "token", "word", "weight", cost.alias("cost")).distinct()
     least = pairs.groupBy("kind", "token").agg(F.min("cost").alias("_least"))
     sim = F.when(F.col("cost") == 3, F.lit(ABBREVIATED)).otherwise(1 - F.col("cost") / F.greatest(F.char_length("word"), F.char_length("token")))
     return pairs.join(least.hint("merge"), ["kind", "token"]).where("cost = _least").select("kind", "token", "word", "weight", sim.alias("sim"))
@@ -159,7 +159,7 @@ def rank(signatures: DataFrame, names: DataFrame, vocab: DataFrame) -> DataFrame
     rarest = F.array_max(F.transform(F.when(F.size(telling) > 0, telling).otherwise(F.col("elements")), lambda e: F.struct(weigh(e).alias("w"), e["options"].alias("options"))))
     # any name that holds all of the value holds its rarest token
     asked = signatures.select("kind", "sig", "elements", F.explode(F.array_distinct(F.transform(rarest["options"], lambda o: o["word"]))).alias("word"))
-    pairs = asked.join(index, ["kind", "word"]).drop("word")
+    pairs = asked.join(index.hint("merge"), ["kind", "word"]).drop("word")
     hit = lambda e: F.array_max(F.transform(F.filter(e["options"], lambda o: F.map_contains_key("_weights", o["word"])), lambda o: F.struct((o["sim"] * o["weight"] * o["weight"]).alias("dot"), o["word"].alias("word"))))
     pairs = pairs.withColumn("_hits", F.transform("elements", lambda e: F.struct(e["common"].alias("common"), hit(e).alias("hit"))))
     add = lambda items: F.aggregate(items, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
@@ -192,7 +192,7 @@ def map_values(values: DataFrame, entries: DataFrame, checked: bool = True) -> D
     cut = scratch.put(cut.select("kind", "raw_key", "n", F.array_distinct(F.coalesce("of", "t")).alias("t")))
     loose = cut.select("kind", "raw_key", F.explode("t").alias("token"))
     seen = scratch.put(loose.groupBy("kind", "token").agg(F.count("*").alias("n")))
-    known = seen.join(vocab.withColumnRenamed("word", "token"), ["kind", "token"]).select("kind", "token", F.col("token").alias("word"), "weight", F.lit(1.0).alias("sim"))
+    known = seen.join(vocab.withColumnRenamed("word", "token").hint("merge"), ["kind", "token"]).select("kind", "token", F.col("token").alias("word"), "weight", F.lit(1.0).alias("sim"))
     lost = seen.where(~is_common(F.col("token"), kind)).join(known.select("kind", "token").hint("merge"), ["kind", "token"], "left_anti")
     options = known.unionByName(repair(lost, entries, vocab)).groupBy("kind", "token").agg(F.array_sort(F.collect_list(F.struct("word", "weight", "sim"))).alias("options"))
     meant = scratch.put(seen.join(options.hint("merge"), ["kind", "token"], "left").withColumn("common", is_common(F.col("token"), kind)))
