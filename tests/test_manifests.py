@@ -93,3 +93,42 @@ def test_names_and_paths(spark):
         assert value(text.remediation_key(F.lit(alg))) == want
     for path, eco, want in (("crypto/hmac", "go", "crypto"), ("cryptography", "npm", None), ("hashlib", "pypi", "hashlib"), ("org.bouncycastle.jce", "maven", "org.bouncycastle.jce")):
         assert value(text.import_match(F.lit(path), F.lit(eco))) == want
+
+
+def test_workspaces_come_first(spark):
+    files = spark.createDataFrame(
+        [
+            ("package.json", '{"workspaces": {"packages": ["packages/*", "./apps/web/", "none/*"]}}'),
+            ("packages/a/package.json", "{}"),
+            ("packages/a/deep/package.json", "{}"),
+            ("packages/b/package.json", "[1]"),
+            ("apps/web/package.json", "{}"),
+            ("go.work", "go 1.21\nuse (\n\t./svc\n)\nuse missing\n"),
+            ("svc/go.mod", "module m\n"),
+            ("node_modules/x/package.json", "{}"),
+            ("other/pom.xml", ""),
+        ],
+        "path string, text string",
+    )
+    got = {(r.path, r.layer) for r in manifests.workspace_manifests(files).collect()}
+    assert got == {("packages/a/package.json", 1), ("packages/b/package.json", 1), ("apps/web/package.json", 1), ("package.json", 1), ("svc/go.mod", 3)}
+    every = {(r.path, r.layer) for r in manifests.all_manifests(files).collect()}
+    assert every == {("packages/a/package.json", 1), ("apps/web/package.json", 1), ("package.json", 1), ("svc/go.mod", 3), ("packages/a/deep/package.json", 4)}
+    bad = {(r.path, r.problem) for r in manifests.parse_report(files.unionByName(spark.createDataFrame([("x/Cargo.toml", "x")], files.schema))).collect()}
+    assert bad == {("packages/b/package.json", "malformed"), ("other/pom.xml", "malformed"), ("x/Cargo.toml", "unsupported"), ("go.work", "unsupported")}
+
+
+def test_github_references(spark):
+    refs = {
+        "https://github.com/o/r": ("o", "r", "", ""),
+        "http://github.com/o/r.git": ("o", "r", "", ""),
+        "https://github.com/o/r/tree/main": ("o", "r", "main", ""),
+        "https://github.com/o/r/tree/main/a/b": ("o", "r", "main", "a/b"),
+        "github.com/o/r": ("o", "r", "", ""),
+        "o-1/r.x": ("o-1", "r.x", "", ""),
+        "https://github.com/o/r/blob/main/a": None,
+        "plain": None,
+    }
+    df = spark.createDataFrame([(k,) for k in refs], "ref string")
+    got = {r.ref: r.g and tuple(r.g) for r in df.withColumn("g", manifests.github_reference(F.col("ref"))).collect()}
+    assert got == refs
