@@ -142,6 +142,27 @@ def merge_kb(curated: DataFrame, found: DataFrame) -> DataFrame:
     return curated.select("ecosystem", "package", F.lit("curated").alias("origin")).unionByName(new.select("ecosystem", "package", F.lit("inferred").alias("origin")))
 
 
+def risk_counts(kb: DataFrame, *keys: str) -> DataFrame:
+    """The usages of each entry by risk; null members and null lists count nothing."""
+    of = lambda test: F.coalesce(F.size(F.filter("usages", test)), F.lit(0)).cast("bigint")
+    risk = lambda r: of(lambda u: u["quantum_risk"] == r)
+    known = ("VULNERABLE", "PARTIAL", "SAFE")
+    size = of(lambda u: u.isNotNull())
+    listed = F.col("usages").isNotNull()
+    counts = {f"n_{r.lower()}": F.when(listed, risk(r)).otherwise(F.lit(0)).cast("bigint") for r in known}
+    rest = F.when(listed, size).otherwise(F.lit(0)).cast("bigint") - counts["n_vulnerable"] - counts["n_partial"] - counts["n_safe"]
+    return kb.select(*keys, *[c.alias(n) for n, c in counts.items()], rest.alias("n_unknown"))
+
+
+def export_stats(kb: DataFrame) -> DataFrame:
+    """(measure, value, packages): exported packages by ecosystem and by the
+    confidence of their first usage; without one they count as 'verified'."""
+    last = kb.groupBy("ecosystem", F.lower("package").alias("key")).agg(F.max_by("usages", "seq").alias("usages")).where("not contains(key, '@')")
+    first = F.coalesce(F.lower(F.trim(F.try_element_at("usages", F.lit(1))["confidence"])), F.lit("verified"))
+    each = last.select(F.explode(F.array(F.struct(F.lit("ecosystem").alias("measure"), F.col("ecosystem").alias("value")), F.struct(F.lit("confidence").alias("measure"), first.alias("value")))).alias("m"))
+    return each.groupBy("m.measure", "m.value").agg(F.count("*").alias("packages"))
+
+
 def infer_algorithms(packages: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
     """packages: (id, content); rules: (rule_no, pattern, pos, algorithm, type).
     Algorithms of every rule any of whose patterns the lower-case content holds; of

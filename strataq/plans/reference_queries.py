@@ -145,6 +145,29 @@ def kb_stats(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.kb_stats(_kb(spark, sf))
 
 
+def kb_risk_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.risk_counts(_kb(spark, sf), "seq")
+
+
+def kb_export_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.export_stats(_kb(spark, sf))
+
+
+def remediation_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Algorithms to act on in each package and the pass they belong to."""
+    u = _t(spark, sf, "crypto_usage").withColumn("quantum_risk", F.upper(F.trim("quantum_risk")))
+    return inventory.remediation_list(u, "package").select("package", "algorithm", F.col("pass").alias("pass_no"))
+
+
+def package_json_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """package.json texts made of each scan's npm dependencies, and read again."""
+    d = _t(spark, sf, "dependency").where((_eco("ecosystem") == "npm") & F.col("name").isNotNull() & F.col("version").isNotNull())
+    one = d.groupBy("scan_id", "name").agg(F.max("version").alias("version"))
+    body = one.groupBy("scan_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.concat(F.lit("^"), "version"))))).alias("dependencies"))
+    files = body.select(F.concat("scan_id", F.lit("/package.json")).alias("path"), F.to_json(F.struct("dependencies")).alias("text"))
+    return manifests.package_json(files).select("path", "name", "version", "direct")
+
+
 def kb_export(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.export_kb(_kb(spark, sf)).select("ecosystem", "package", "version")
 
@@ -257,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_summary, portfolio_summary, scan_findings, classified_usages, remediation_keys, import_matches, clean_versions, requirement_lines, go_mod_dependencies, go_mod_left_out, discovered_manifests, preferred_manifests, crypto_packages, package_risk,
-        ranked_findings, kb_stats, kb_export, kb_merge, inferred_algorithms, deduped_usages, available_algorithms, sarif_rules, cbom_components, risk_breakdown, report_documents, markdown_report, call_reachability, reachability_counts, crypto_traces, source_uses, source_depth, source_scopes,
+        ranked_findings, kb_stats, kb_risk_counts, kb_export_stats, remediation_targets, package_json_dependencies, kb_export, kb_merge, inferred_algorithms, deduped_usages, available_algorithms, sarif_rules, cbom_components, risk_breakdown, report_documents, markdown_report, call_reachability, reachability_counts, crypto_traces, source_uses, source_depth, source_scopes,
     )
 }
 
@@ -423,4 +446,12 @@ h AS (SELECT x.doc_id, x.n, x.cls, x.fn, (SELECT min(y.n) FROM x y WHERE y.doc_i
 c AS (SELECT d.doc_id, d.n, d.fn, d.until, (SELECT arg_max(k.cls, k.n) FROM h k WHERE k.doc_id = d.doc_id AND k.cls IS NOT NULL AND k.n <= d.n AND (k.until IS NULL OR k.until > d.n)) AS cls FROM h d WHERE d.fn IS NOT NULL),
 t AS (SELECT x.doc_id, x.n, (SELECT arg_max({'f': CASE WHEN c.cls IS NULL THEN c.fn ELSE c.cls || '.' || c.fn END, 'e': NOT starts_with(c.fn, '_')}, c.n) FROM c WHERE c.doc_id = x.doc_id AND c.n <= x.n AND (c.until IS NULL OR c.until > x.n)) AS o FROM x)
 SELECT doc_id, n AS line_no, coalesce(o.f, '') AS function, coalesce(o.e, false) AS exported FROM t""",
+    "kb_risk_counts": "WITH c AS (SELECT analysis_id AS seq, coalesce(list_filter(crypto, lambda u: u IS NOT NULL), []) AS us FROM package_analysis) SELECT seq, " + ", ".join(f"len(list_filter(us, lambda u: u.quantum_risk = '{r}')) AS n_{r.lower()}" for r in ("VULNERABLE", "PARTIAL", "SAFE")) + ", len(list_filter(us, lambda u: u.quantum_risk IS NULL OR u.quantum_risk NOT IN ('VULNERABLE', 'PARTIAL', 'SAFE'))) AS n_unknown FROM c",
+    "kb_export_stats": """WITH l AS (SELECT lower(trim(ecosystem, ' ')) AS e, lower(trim(package, ' ')) AS k, arg_max_null(crypto, analysis_id) AS c FROM package_analysis GROUP BY 1, 2), x AS (SELECT e, coalesce(lower(trim(c[1].confidence, ' ')), 'verified') AS f FROM l WHERE NOT contains(k, '@'))
+SELECT 'ecosystem' AS measure, e AS value, count(*) AS packages FROM x GROUP BY e UNION ALL SELECT 'confidence', f, count(*) FROM x GROUP BY f""",
+    "remediation_targets": """WITH u AS (SELECT package, algorithm, upper(trim(quantum_risk, ' ')) AS r, upper(reachability) AS w FROM crypto_usage WHERE algorithm IS NOT NULL), p AS (SELECT package, algorithm, CASE WHEN w = 'CONFIRMED' AND r IN ('VULNERABLE', 'PARTIAL') THEN 1 WHEN w = 'AVAILABLE' AND r = 'VULNERABLE' THEN 2 END AS n FROM u)
+SELECT package, algorithm, min(n) AS pass_no FROM p WHERE n IS NOT NULL GROUP BY ALL""",
+    "package_json_dependencies": r"""WITH d AS (SELECT scan_id, name, max(version) AS v FROM dependency WHERE lower(trim(ecosystem, ' ')) = 'npm' AND name IS NOT NULL AND version IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT scan_id, name, regexp_replace(trim('^' || v, ' '), '^\^?~?(>=)?>?(<=)?<?=?', '') AS x FROM d), f AS (SELECT scan_id, name, CASE WHEN contains(x, ' - ') THEN trim(string_split(x, ' - ')[1], ' ') ELSE x END AS x FROM b)
+SELECT scan_id || '/package.json' AS path, name, CASE WHEN contains(x, ' || ') THEN trim(string_split(x, ' || ')[1], ' ') ELSE x END AS version, true AS direct FROM f""",
 }
