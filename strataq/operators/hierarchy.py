@@ -84,7 +84,10 @@ def resolve_links(links: DataFrame, with_path: bool = False, widen: bool = True)
     named = links.groupBy("k1", "k2").agg(F.min("row_id").alias("node"), F.min_by(F.struct("p1", "p2"), "row_id").alias("p"), F.first("scope").alias("scope"), F.count("*").alias("n"))
     named = scratch.put(named.select("k1", "k2", "node", "scope", "n", "p.*"))
     parents = named.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("node").alias("up"))
-    nodes = scratch.put(named.join(parents, ["p1", "p2"], "left").select("k1", "k2", "node", "scope", "n", "up"))
+    # rows without a parent are tops at once; joined, they would all be one key
+    columns = ["k1", "k2", "node", "scope", "n"]
+    linked = named.where("p1 is not null").join(parents, ["p1", "p2"], "left").select(*columns, "up")
+    nodes = scratch.put(linked.unionByName(named.where("p1 is null").select(*columns, F.lit(None).cast("bigint").alias("up"))))
     scratch.drop(named)
     inner = nodes.join(nodes.select(F.col("up").alias("_p")).where("_p is not null").distinct(), F.col("node") == F.col("_p"), "left_semi")
     state = scratch.put(_segments(inner, with_path))
